@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import mixing, simhash, tiff
+from graphloom.llm import ans, mixing, packing, simhash, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ans.round_trip(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -25,7 +35,7 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_mix_sources, op7_tiff_media, op8_simhash_groups)}
+    return {f.__name__: f for f in (op1_pack_windows, op2_rans_ids, op6_mix_sources, op7_tiff_media, op8_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -57,3 +57,18 @@ def slices(batches, rows: int = 1000):
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     found = batch.column(batch.schema.get_field_index(name))
     return found.cast(pa.string()) if pa.types.is_large_string(found.type) or pa.types.is_string_view(found.type) else found
+
+
+def slices_by_bytes(batches, name: str, most: int = 8 << 20):
+    """Arrow batches cut so that the texts of a part hold about so many bytes (one longer text is a part of its own)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        lengths = np.asarray(pc.fill_null(pc.binary_length(column(batch, name)), 0)).astype(np.int64)
+        ends, at = np.cumsum(lengths), 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
