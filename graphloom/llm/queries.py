@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ans, mixing, packing, simhash, tiff
+from graphloom.llm import ans, langid, mixing, packing, permindex, simhash, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,8 +38,13 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permindex.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_windows, op2_rans_ids, op6_mix_sources, op7_tiff_media, op8_simhash_groups)}
+    return {f.__name__: f for f in (op1_pack_windows, op2_rans_ids, op3_language, op6_mix_sources, op7_tiff_media, op8_simhash_groups, op10_permutation_search)}
 
 
 def oracle_sql() -> dict[str, str]:
