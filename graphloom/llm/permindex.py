@@ -88,7 +88,8 @@ class Block:
         far = self.footrule(order).astype(np.int64) * len(self.ids) + np.arange(len(self.ids))
         found = np.argpartition(far, few - 1)[:few] if few < len(far) else np.arange(len(far))
         found = found[self.ids[found] != query_id]
-        cos = (self.raw[found] @ query) / (self.norms[found] * np.sqrt((query * query).sum()))
+        # summed row by row: equal vectors get equal scores wherever they stand
+        cos = (self.raw[found] * query).sum(axis=1) / (self.norms[found] * np.sqrt((query * query).sum()))
         top = np.lexsort((self.ids[found], -cos))[:k] if len(cos) <= 4 * k else self._top(cos, self.ids[found], k)
         return self.ids[found[top]], cos[top]
 
