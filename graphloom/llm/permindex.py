@@ -63,9 +63,16 @@ class Block:
     """Inverted files of one block of rows."""
 
     def __init__(self, ids: np.ndarray, raw: np.ndarray, pivots: np.ndarray, seen: int):
-        order = np.argsort(ids, kind="stable")  # so that ties of distance go to the smaller id
+        # equal vectors are one entry with the list of its ids, so a large group of copies takes one candidate's place
+        raw = np.ascontiguousarray(raw + 0.0)
+        order = np.lexsort((ids, *raw.T[::-1])) if len(raw) else np.zeros(0, np.int64)
         ids, raw = ids[order], raw[order]
-        self.ids, self.raw = ids, raw
+        new = np.concatenate([[True], (raw[1:] != raw[:-1]).any(axis=1)]) if len(raw) else np.zeros(0, bool)
+        self.copies = np.concatenate([np.flatnonzero(new), [len(raw)]])
+        first = np.argsort(ids[self.copies[:-1]], kind="stable")  # so that ties of distance go to the smaller id
+        self.all_ids, self.ids, raw = ids, ids[self.copies[:-1]][first], raw[self.copies[:-1]][first]
+        self.starts_at, self.ends_at = self.copies[:-1][first], self.copies[1:][first]
+        self.raw = raw
         self.norms = np.sqrt((raw * raw).sum(axis=1))
         seen_pivots = orders(unit(raw), pivots, seen)
         self.seen = seen_pivots.shape[1]
@@ -87,17 +94,14 @@ class Block:
         few = min(len(self.ids), max(AT_LEAST, int(np.ceil(share * len(self.ids)))))
         far = self.footrule(order).astype(np.int64) * len(self.ids) + np.arange(len(self.ids))
         found = np.argpartition(far, few - 1)[:few] if few < len(far) else np.arange(len(far))
-        found = found[self.ids[found] != query_id]
         # summed row by row: equal vectors get equal scores wherever they stand
         cos = (self.raw[found] * query).sum(axis=1) / (self.norms[found] * np.sqrt((query * query).sum()))
-        top = np.lexsort((self.ids[found], -cos))[:k] if len(cos) <= 4 * k else self._top(cos, self.ids[found], k)
-        return self.ids[found[top]], cos[top]
-
-    @staticmethod
-    def _top(cos: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-        edge = np.partition(cos, len(cos) - k)[len(cos) - k]
-        some = np.flatnonzero(cos >= edge)
-        return some[np.lexsort((ids[some], -cos[some]))[:k]]
+        if len(cos) > k + 1:
+            edge = np.partition(cos, len(cos) - k - 1)[len(cos) - k - 1]
+            found, cos = found[cos >= edge], cos[cos >= edge]
+        pairs = [(-c, i) for c, f in zip(cos.tolist(), found.tolist(), strict=True) for i in self.all_ids[self.starts_at[f] : min(self.ends_at[f], self.starts_at[f] + k + 1)].tolist() if i != query_id]
+        pairs.sort()
+        return np.array([i for _, i in pairs[:k]], np.int64), np.array([-c for c, _ in pairs[:k]], np.float64)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", value: str = "embedding", n_pivots: int = PIVOTS, seen: int = SEEN, share: float = SHARE) -> DataFrame:
