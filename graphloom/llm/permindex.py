@@ -5,7 +5,8 @@ file lists, for each pivot, the vectors that see it among their nearest and at w
 lists of its own nearest pivots, how far the places are apart: the footrule distance, a pivot that one side doesn't see
 counting as seen at the place after the last. The vectors of least footrule are then compared exactly, by cosine.
 
-Pivots: at most ``n_pivots`` rows, those of least hash (a bounded sample; everything else is indexed in full). Queries
+Pivots: ``n_pivots`` rows that lie far apart, out of the ``sample`` rows of least hash (a bounded sample; everything else
+is indexed in full). Queries
 are taken in blocks of bounded size, each sent to all rows; rows are searched in blocks too, and each sends on only its
 best few for a query. No task sees more than a block of either.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.shared import staged
 
-PIVOTS, SEEN = 96, 48
+PIVOTS, SEEN, SAMPLE = 96, 48, 1024
 #: Share of a block's rows, by footrule, that are compared exactly, and rows that are compared in any case.
 SHARE, AT_LEAST = 0.3, 64
 QUERY_BLOCK = 4096
@@ -59,6 +60,15 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, seen: int) -> np.ndarray:
     return np.take_along_axis(best, np.argsort(np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1)
 
 
+def spread_out(sample: np.ndarray, few: int) -> np.ndarray:
+    """So many of the (unit) vectors, each next one the farthest from those before: a dense region takes few of them."""
+    chosen, near = [0], sample @ sample[0]
+    while len(chosen) < min(few, len(sample)):
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
 class Block:
     """Inverted files of one block of rows."""
 
@@ -104,16 +114,16 @@ class Block:
         return np.array([i for _, i in pairs[:k]], np.int64), np.array([-c for c, _ in pairs[:k]], np.float64)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", value: str = "embedding", n_pivots: int = PIVOTS, seen: int = SEEN, share: float = SHARE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", value: str = "embedding", n_pivots: int = PIVOTS, seen: int = SEEN, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, its own id left out."""
     rows, asked = staged(usable(vectors, key, value), "vectors"), usable(queries, key, value)
-    chosen = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(n_pivots).collect()
+    chosen = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(sample).collect()
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not chosen:
         return empty
     width = len(chosen[0].v)
-    pivots = unit(np.array([r.v for r in chosen if len(r.v) == width]))
+    pivots = spread_out(unit(np.array([r.v for r in chosen if len(r.v) == width])), n_pivots)
     see = min(seen, len(pivots))
     asked = staged(asked.filter(F.size("v") == width), "queries")
     total = asked.count()
