@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ans, langid, mixing, packing, permindex, simhash, tiff
+from graphloom.llm import ans, htmlcut, langid, mixing, packing, permindex, simhash, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcut.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,7 +48,7 @@ def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_windows, op2_rans_ids, op3_language, op6_mix_sources, op7_tiff_media, op8_simhash_groups, op10_permutation_search)}
+    return {f.__name__: f for f in (op1_pack_windows, op2_rans_ids, op3_language, op5_main_text, op6_mix_sources, op7_tiff_media, op8_simhash_groups, op10_permutation_search)}
 
 
 def oracle_sql() -> dict[str, str]:
