@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ans, htmlcut, langid, mixing, packing, permindex, simhash, tiff
+from graphloom.llm import ans, htmlcut, langid, mixing, packing, passages, permindex, simhash, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +42,17 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return permindex.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_windows, op2_rans_ids, op3_language, op5_main_text, op6_mix_sources, op7_tiff_media, op8_simhash_groups, op10_permutation_search)}
+    return {f.__name__: f for f in (op1_pack_windows, op2_rans_ids, op3_language, op5_main_text, op6_mix_sources, op7_tiff_media, op8_simhash_groups, op9_passages, op10_permutation_search)}
 
 
 def oracle_sql() -> dict[str, str]:
