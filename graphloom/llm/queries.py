@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ans, htmlcut, langid, mixing, packing, passages, permindex, simhash, tiff
+from graphloom.llm import ans, htmlcut, langid, linededup, mixing, packing, passages, permindex, simhash, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without later copies of repeated line runs, n_chars, removed_lines."""
+    return linededup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed_lines")
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlcut.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -52,7 +57,7 @@ def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_windows, op2_rans_ids, op3_language, op5_main_text, op6_mix_sources, op7_tiff_media, op8_simhash_groups, op9_passages, op10_permutation_search)}
+    return {f.__name__: f for f in (op1_pack_windows, op2_rans_ids, op3_language, op4_line_runs, op5_main_text, op6_mix_sources, op7_tiff_media, op8_simhash_groups, op9_passages, op10_permutation_search)}
 
 
 def oracle_sql() -> dict[str, str]:
