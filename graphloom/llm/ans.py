@@ -1,6 +1,6 @@
 """Token ids as binary output: static range asymmetric numeral system (rANS) with one shared frequency table.
 
-A stored set is two tables: ``table`` (id, freq; the frequencies sum to 2**20) and ``blocks``. A block holds whole
+A stored set is two tables: ``table`` (id, freq; the frequencies sum to 2**18) and ``blocks``. A block holds whole
 documents, some 65536 ids or one longer document, and can be read without any other. Its payload:
 
     "RANS" | version u16 | reserved u16 | ids u64 | lanes u32 | steps u32 | checkpoints u32 | crc32 of the ids (u32 each) u32
@@ -28,10 +28,10 @@ from graphloom.llm.packing import tokenised, vocabulary
 from graphloom.llm.shared import shared_dir, staged
 from graphloom.llm.tokens import default_path
 
-SCALE = 20
+SCALE = 18
 TOTAL = 1 << SCALE
 LOW = np.uint64(1 << 31)
-LANES, BLOCK, CHECK_STEPS = 32, 65536, 512
+LANES, BLOCK, CHECK_STEPS = 64, 65536, 512
 HEAD = struct.Struct("<4sHHQIIII")
 #: Up to so many rows (one for each partition of the written set) are sent to every task.
 SMALL_TABLE = 500_000
@@ -159,7 +159,7 @@ def decode_blocks(payloads: list[bytes], freq: np.ndarray) -> list[np.ndarray]:
 BLOCK_FIELDS = "part int, block int, first_id long, n_ids long, doc_ids array<long>, doc_lengths array<long>, payload binary"
 
 
-def _write_rows(freq: np.ndarray, form: np.dtype, together: int = 24):
+def _write_rows(freq: np.ndarray, form: np.dtype, together: int = 48):
     """Rows (doc_id, ids) of a partition in order to rows of blocks, some blocks at a time."""
 
     def run(batches):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,12 @@ def default_path(name: str) -> str:
 class PieceEncoder:
     """ids(texts): one array with the ids of all texts, and where each text's ids start in it."""
 
+    odd = ODD
+
+    def prepared(self, texts: pa.Array) -> pa.Array:
+        """Texts with the same ids and fewer different pieces."""
+        return texts
+
     def __init__(self, path: str, keep: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -63,15 +70,19 @@ class PieceEncoder:
         counts = np.array([len(x) for x in found], np.int64)
         return np.concatenate(found), np.cumsum(counts) - counts, counts
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces in groups, each group as one text of pieces that start with a blank."""
-        plain = [p for p in new if p[0] == " " and not p[-1].isspace()]
+    def _learn(self, inner: list[str], heads: list[str]) -> None:
+        """Encode new pieces. inner: without the blank before them, in groups as one text each; heads: first pieces of texts.
+
+        Keys of the table: an inner piece as it is, a head with a blank before it (no piece has one inside)."""
+        plain = [w for w in inner if w and not w[-1].isspace()]
         for at in range(0, len(plain), 512):
             group = plain[at : at + 512]
-            self._add(group, *self._apart(group))
-        if len(plain) < len(new):
-            rest = [p for p in new if p[0] != " " or p[-1].isspace()]
-            self._add(rest, *self._each(rest))
+            self._add(group, *self._apart([" " + w for w in group]))
+        if len(plain) < len(inner):
+            rest = [w for w in inner if not w or w[-1].isspace()]
+            self._add(rest, *self._each([" " + w for w in rest]))
+        if heads:
+            self._add([" " + w for w in heads], *self._each(heads))
 
     def _apart(self, group: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the pieces in a row, where each piece's ids start, how many they are."""
@@ -79,11 +90,11 @@ class PieceEncoder:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
-        odd = np.asarray(pc.match_substring_regex(texts, ODD), dtype=bool) if len(texts) else np.zeros(0, bool)
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd), dtype=bool) if len(texts) else np.zeros(0, bool)
         if len(self.place) > self.keep:
             self.clear()
         even = pc.if_else(pa.array(odd), "", texts)
-        split = pc.split_pattern(even, " ")
+        split = pc.split_pattern(self.prepared(even), " ")
         offsets = np.asarray(split.offsets).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         code = np.asarray(coded.indices).astype(np.int64)
@@ -91,23 +102,21 @@ class PieceEncoder:
         # the first piece of a text has no blank before it, all others do
         first = np.zeros(len(code), bool)
         first[offsets[:-1][np.diff(offsets) > 0]] = True
-        words = coded.dictionary.to_pylist()
+        words = joined(coded.dictionary)
         rest = np.zeros(len(words), bool)
         rest[code[~first]] = True
         starting = np.unique(code[first])
-        wanted = [" " + w if r else None for w, r in zip(words, rest.tolist(), strict=True)]
         heads = [words[i] for i in starting.tolist()]
-        get = self.place.get
-        at = [get(w, -1) if w is not None else -2 for w in wanted]
-        new = dict.fromkeys(w for w, a in zip(wanted, at, strict=True) if a == -1)
-        new |= dict.fromkeys(h for h in heads if h and h not in self.place)
-        if new:
-            self._learn(list(new))
-            at = [self.place[w] if a == -1 else a for w, a in zip(wanted, at, strict=True)]
-        index = np.array(at, np.int64)
+        index = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rest & (index < 0)).tolist()
+        new_heads = [h for h in heads if h and " " + h not in self.place]
+        if missing or new_heads:
+            self._learn([words[i] for i in missing], new_heads)
+            for i in missing:
+                index[i] = self.place[words[i]]
         head_at = np.zeros(len(words), np.int64)
-        head_at[starting] = [self.place[h] if h else -1 for h in heads]
-        which = np.where(first, head_at[code] if len(code) else code, index[code] if len(code) else code)
+        head_at[starting] = [self.place[" " + h] if h else -1 for h in heads]
+        which = np.where(first, head_at[code], index[code]) if len(code) else code
         counts = np.where(which >= 0, self.counts[which], 0)
         flat, _ = gather(self.flat, self.starts[which], counts)
         ends = np.concatenate([[0], np.cumsum(counts)])[offsets]
@@ -119,6 +128,15 @@ class PieceEncoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def joined(words: pa.Array) -> list[str]:
+    """The strings of an array in which none has a blank, much faster than one by one."""
+    if not len(words):
+        return []
+    words = words.cast(pa.string())
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(one, " ")[0].as_py().split(" ")
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[start : start + count] in a row, and where each one starts."""
     ends = np.cumsum(counts)
@@ -150,6 +168,13 @@ class WordEncoder(PieceEncoder):
     """For BPE with word ends: white space is dropped, so a joined group is cut at a sign between its pieces."""
 
     MARK = "¦"
+    odd = r"[\x{1c}-\x{1f}\x{2be}\x{300}-\x{36f}]"
+
+    def prepared(self, texts: pa.Array) -> pa.Array:
+        """White space is all alike, ASCII capitals are small ones (but before a combining mark), and a comma or full stop between a letter and a blank stands for itself."""
+        for space in "\n\t\r":
+            texts = pc.replace_substring(texts, space, " ")
+        return pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([,.]) ", r"\1 \2 ")
 
     def __init__(self, path: str, keep: int = 700_000):
         super().__init__(path, keep)
