@@ -12,7 +12,7 @@ interval isn't its own. For each suffix the longest such n is found by one pass
 the frontier (common prefix, least position) of the partitions before it: a few numbers a partition.
 
 A maximal repeated run of at least ``min_words`` words is deleted wherever it isn't the first copy, in order of doc_id;
-white-space lines inside go with it. Shorter runs stay.
+white-space lines inside and right before it go with it. Shorter runs stay.
 
 Nulls: a null text stays null. Rows of one doc_id and text are one document and are treated alike. Null ids come first.
 Empty texts stay. An empty table gives no rows."""
@@ -340,7 +340,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def without(text: str | None, places: list[int] | None) -> str | None:
-    """A text without the lines at these places, and without white-space lines between two of them that follow each other."""
+    """A text without the lines at these places and the white-space lines right before each of them."""
     if not text or not places:
         return text
     gone, out, blank, k, after = set(places), [], [], 0, False
@@ -349,8 +349,6 @@ def without(text: str | None, places: list[int] | None) -> str | None:
             blank.append(line)
             continue
         if k in gone:
-            if not after:
-                out += blank
             blank, after = [], True
         else:
             out += [*blank, line]
@@ -363,7 +361,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows and columns of docs with later copies deleted from text, n_chars (if there) to match, and removed_lines."""
     gone = staged(later_copies(docs.select("doc_id", "text"), min_words), "lines-gone")
     names = docs.columns
-    joined = docs.withColumn("__doc", document_key()).join(gone, F.col("__doc") == F.col("doc"), "left").select(*names, "places")
+    gone = gone.select(F.col("doc").alias("__gone"), F.col("places").alias("__places"))
+    joined = docs.withColumn("__doc", document_key()).join(gone, F.col("__doc") == F.col("__gone"), "left").select(*names, "__places")
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
 
