@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
@@ -227,6 +227,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those whose near-duplicate with a smaller id stays; of rows with one id, one stays.
 
     Decided by doc_id: rows with a null id are kept."""
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL"))
-    later = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(later, docs["doc_id"] == F.col("__later"), "left_anti")
+    named = docs.filter("doc_id IS NOT NULL")
+    later = near_duplicates(named).filter("component_id < doc_id").select(F.col("doc_id").alias("__later")).distinct()
+    kept = named.join(later, named["doc_id"] == F.col("__later"), "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = kept.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
+    return first.union(docs.filter("doc_id IS NULL"))
