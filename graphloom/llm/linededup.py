@@ -64,7 +64,7 @@ def lines(docs: DataFrame) -> DataFrame:
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(number, pa.int32()), pa.array(words, pa.int32()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))], names=["doc", "doc_id", "place", "line", "words", "h1", "h2"])
 
-    return docs.select(document_key().alias("doc"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, doc_id long, place int, line int, words int, h1 long, h2 long")
+    return docs.select(document_key().alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").mapInArrow(run, "doc long, doc_id long, place int, line int, words int, h1 long, h2 long")
 
 
 def _numbered(rows: DataFrame, keys: list[str], tie: list[str], name: str) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +87,8 @@ def _numbered(rows: DataFrame, keys: list[str], tie: list[str], name: str) -> tu
 
 
 def _ranked(rows: DataFrame, major: list[str], minor: list[str], name: str) -> DataFrame:
-    """rows with start_major and start: places in the global order at which the rows of equal major keys, and of equal keys, begin.
+    """rows with start_major and start: places in the global order at which the rows of equal major keys, and of equal keys, begin;
+    and alone: surely no other row has these keys (a partition's first and last rows aren't sure).
 
     Each partition finds the beginnings inside it; a run that comes from an earlier partition begins where that one says."""
     keys, tie = [*major, *minor], ["doc", "place"]
@@ -109,29 +110,29 @@ def _ranked(rows: DataFrame, major: list[str], minor: list[str], name: str) -> D
                     at[0] = held[2][j]
                 place = np.maximum.accumulate(np.where(at >= 0, np.arange(len(at)), 0))
                 outs.append(at[place])
+            alone = np.zeros(len(idx), bool)
+            alone[1:-1] = ~same[1:-1] & ~same[2:] & (part[1:-1] == part[2:]) & (part[1:-1] == part[:-2])
             held = (part[-1], k[:, -1], [o[-1] for o in outs])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o) for o in outs)], names=[*batch.schema.names, "in_major", "in_keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o) for o in outs), pa.array(alone)], names=[*batch.schema.names, "in_major", "in_keys", "alone"])
 
     # rows of a part are read in order by one task
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
-    local = staged(table.repartition("part").sortWithinPartitions("part", "idx").mapInArrow(begins, f"{fields}, in_major long, in_keys long"), name)
+    local = staged(table.repartition("part").sortWithinPartitions("part", "idx").mapInArrow(begins, f"{fields}, in_major long, in_keys long, alone boolean"), name)
     ends = local.groupBy("part").agg(F.max_by(F.struct("in_major", "in_keys"), "idx").alias("e")).select(F.col("part").alias("p"), "e.*")
     stats = parts.join(ends, F.col("part") == F.col("p")).orderBy("part").collect()  # a row for each partition
     base, before, info = 0, None, []
     for s in stats:
-        major_first, major_last = tuple(s.first[: len(major)]), tuple(s.last[: len(major)])
-        carry_major = before[1] if before and before[0][: len(major)] == major_first else base
+        carry_major = before[1] if before and before[0][: len(major)] == tuple(s.first[: len(major)]) else base
         carry_keys = before[2] if before and before[0] == tuple(s.first) else base
         info.append((s.part, base, carry_major, carry_keys))
         begin_major = carry_major if s.in_major == 0 else base + s.in_major
         begin_keys = carry_keys if s.in_keys == 0 else base + s.in_keys
         before = (tuple(s.last), begin_major, begin_keys)
         base += s.n
-        del major_last
     known = F.broadcast(spark.createDataFrame(info, "p int, base long, carry_major long, carry_keys long"))
     joined = local.join(known, F.col("part") == F.col("p"))
     begin = lambda inside, carry: F.when(F.col(inside) == 0, F.col(carry)).otherwise(F.col("base") + F.col(inside))
-    return joined.select(*rows.columns, begin("in_major", "carry_major").alias("start_major"), begin("in_keys", "carry_keys").alias("start"), "part", "idx", (F.col("base") + F.col("idx")).alias("at"))
+    return joined.select(*rows.columns, begin("in_major", "carry_major").alias("start_major"), begin("in_keys", "carry_keys").alias("start"), "alone")
 
 
 def _by_document(run, rows: DataFrame, schema: str) -> DataFrame:
@@ -164,16 +165,46 @@ def _runs(c: dict) -> np.ndarray:
     return last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1
 
 
-def suffix_ranks(repeated: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """repeated: doc, doc_id, place, words, h1, h2. The suffixes with their final rank (at: place in the order), and (doc, place, rank, left) of each round."""
-    first = _ranked(repeated.select("doc", "doc_id", "place", "words", "h1", "h2"), ["h1"], ["h2"], "lines-rank0")
+SUFFIX = "doc long, doc_id long, place int, words int, left int, first long, prior long, rank long"
+
+
+def _columns(c: dict, names: list[str], **more: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(more.get(n, c.get(n))) for n in names], names=names)
+
+
+def runs_of(repeated: DataFrame, min_words: int) -> DataFrame:
+    """Repeated lines with left (lines to the end of their run), without repeated rows and without the runs that have too few words for any deletion."""
+    names = ["doc", "doc_id", "place", "words", "h1", "h2", "left"]
+
+    def run(c):
+        once = np.concatenate([[True], (c["doc"][1:] != c["doc"][:-1]) | (c["place"][1:] != c["place"][:-1])])
+        c = {n: x[once] for n, x in c.items()}
+        left = _runs(c)
+        begins = np.concatenate([[True], left[:-1] == 1])
+        size = np.add.reduceat(c["words"].astype(np.int64), np.flatnonzero(begins))[np.cumsum(begins) - 1]
+        keep = size >= min_words
+        if keep.any():
+            yield _columns({n: x[keep] for n, x in c.items()}, names, left=left[keep].astype(np.int32))
+
+    return _by_document(run, repeated, "doc long, doc_id long, place int, words int, h1 long, h2 long, left int")
+
+
+def suffix_ranks(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """rows: of runs_of. All suffixes with their final rank, and (doc, place, rank) after each round, of the documents that it still had.
+
+    A suffix is settled if no other has its rank or if it ends within the lines compared; a document of which all are
+    settled takes no part in later rounds."""
+    ranked = _ranked(rows, ["h1"], ["h2"], "lines-rank0")
+    names = ["doc", "doc_id", "place", "words", "left", "first", "prior", "rank"]
 
     def begin(c):
-        yield pa.RecordBatch.from_arrays([pa.array(c[n]) for n in ("doc", "doc_id", "place", "words", "start")] + [pa.array(_runs(c).astype(np.int32))], names=["doc", "doc_id", "place", "words", "rank", "left"])
+        prior = np.full(len(c["doc"]), -1, np.int64)
+        inner = np.flatnonzero((c["doc"][1:] == c["doc"][:-1]) & (c["place"][1:] == c["place"][:-1] + 1)) + 1
+        prior[inner] = c["start"][inner - 1]
+        yield _columns(c, [*names, "open"], first=c["start"], prior=prior, rank=c["start"], open=~c["alone"])
 
-    row = "doc long, doc_id long, place int, words int, rank long, left int"
-    table = staged(_by_document(begin, first.select("doc", "doc_id", "place", "words", "start"), row), "lines-round0")
-    rounds, length, order = [table], 1, None
+    table = staged(_by_document(begin, ranked.select("doc", "doc_id", "place", "words", "left", "start", "alone"), f"{SUFFIX}, open boolean"), "lines-round0")
+    rounds, done, length = [table.select("doc", "place", "rank")], [], 1
     while True:
 
         def look(c, length=length):
@@ -181,40 +212,87 @@ def suffix_ranks(repeated: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             on = np.full(n, -1, np.int64)  # a suffix that ends comes first
             far = np.flatnonzero(c["left"] > length)
             on[far] = c["rank"][far + length]
-            yield pa.RecordBatch.from_arrays([pa.array(c[k]) for k in ("doc", "doc_id", "place", "words", "rank", "left")] + [pa.array(on)], names=["doc", "doc_id", "place", "words", "rank", "left", "on"])
-
-        ahead = staged(_by_document(look, table, f"{row}, on long"), "lines-ahead")
-        # part of the order: suffixes of one rank that are equal to their ends go by document
-        order = _ranked(ahead, ["rank"], ["on"], f"lines-rank{len(rounds)}")
-        order = staged(order.select("doc", "doc_id", "place", "words", F.col("start").alias("rank"), "left", "part", "idx", "at"), "lines-order")
+            active = c["open"] & (c["left"] >= length)
+            begins = np.concatenate([[True], c["doc"][1:] != c["doc"][:-1]])
+            live = np.logical_or.reduceat(active, np.flatnonzero(begins))[np.cumsum(begins) - 1]
+            yield _columns(c, [*names, "on", "state"], on=on, state=(live.astype(np.int32) + active.astype(np.int32)))
+
+        ahead = staged(_by_document(look, table, f"{SUFFIX}, on long, state int"), "lines-ahead")
+        done.append(ahead.filter("state = 0").select(*names))
+        active = ahead.filter("state = 2").select(*names, "on")
+        if active.isEmpty():
+            every = done[0]
+            for d in done[1:]:
+                every = every.union(d)
+            return every, rounds
+        fresh = _ranked(active, ["rank"], ["on"], f"lines-rank{len(rounds)}")
+        fresh = fresh.select(*names[:-1], (F.col("rank") + F.col("start") - F.col("start_major")).alias("rank"), (~F.col("alone")).alias("open"))
+        table = staged(fresh.union(ahead.filter("state = 1").select(*names, F.lit(False))), "lines-round")
+        rounds.append(table.select("doc", "place", "rank"))
         length *= 2
-        table = order.select("doc", "doc_id", "place", "words", "rank", "left")
-        unsettled = order.groupBy("rank").agg(F.count("*").alias("n"), F.max("left").alias("most")).filter((F.col("n") > 1) & (F.col("most") >= length)).limit(1).count()
-        if not unsettled:
-            return order, rounds
-        rounds.append(table)
-
-
-def common_prefixes(order: DataFrame, rounds: list[DataFrame]) -> DataFrame:
-    """The rows of order with lcp: lines that a suffix has in common with the one before it in the order."""
-    prior = order.select((F.col("at") + 1).alias("next"), F.col("doc").alias("q_doc"), F.col("place").alias("q_place"), F.col("left").alias("q_left"), F.col("rank").alias("q_rank"))
-    pairs = order.select("at", "doc", "place", "left", "rank").join(prior, F.col("at") == F.col("next"))
-    same = F.col("rank") == F.col("q_rank")  # equal to their ends
-    # a suffix that is not like the one before it in its first line has nothing in common with it; this is found below, too
-    pairs = pairs.select("at", "doc", "place", "left", "q_doc", "q_place", "q_left", F.when(same, F.col("left")).otherwise(F.lit(0)).cast("int").alias("lcp"), same.alias("done"))
-    pairs = staged(pairs, "lines-pairs")
+
+
+def common_prefixes(suffixes: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """The suffixes in order (part, idx), with lcp: lines in common with the one before.
+
+    Where a suffix and the one before it in the order follow equal lines, the suffixes one line earlier are neighbours,
+    too, with one line more in common; only the others are compared, by the ranks of the rounds from the last to the first."""
+    names = ["doc", "doc_id", "place", "words", "left", "first", "prior", "rank"]
+    order, parts = _numbered(suffixes, ["rank"], ["doc_id", "doc", "place"], "lines-order")
+    last = {r.part: r.last for r in order.groupBy("part").agg(F.max_by(F.struct("doc", "place", "left", "first", "prior", "rank"), "idx").alias("last")).collect()}  # a row for each partition
+    before, prior = {}, None
+    for part in sorted(last):
+        before[part], prior = prior, tuple(last[part])
+
+    def neighbours(batches):
+        held = None
+        for batch in batches:
+            get = lambda n: np.asarray(batch.column(batch.schema.get_field_index(n))).astype(np.int64)
+            own = np.stack([get(n) for n in ("doc", "place", "left", "first", "prior", "rank")])
+            part = get("part")
+            other = np.empty_like(own)
+            other[:, 1:] = own[:, :-1]
+            for i in [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist()]:
+                q = held[1] if i == 0 and held is not None and held[0] == part[0] else before[int(part[i])]
+                other[:, i] = q if q is not None else (0, -9, 0, -9, -1, -9)
+            held = (part[-1], own[:, -1])
+            same_rank, follows = own[5] == other[5], (own[4] == other[4]) & (own[4] >= 0)
+            lcp = np.where(same_rank, own[2], 0)
+            # 0: known, 1: from the suffix a line earlier, 2: to compare
+            how = np.where(same_rank | (own[3] != other[3]), 0, np.where(follows, 1, 2))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in ("doc", "doc_id", "place", "words", "left", "part", "idx")), pa.array(other[0]), *(pa.array(x.astype(np.int32)) for x in (other[1], other[2], lcp, how))], names=["doc", "doc_id", "place", "words", "left", "part", "idx", "q_doc", "q_place", "q_left", "lcp", "how"])
+
+    rows = staged(order.select(*names, "part", "idx").repartition("part").sortWithinPartitions("part", "idx").mapInArrow(neighbours, "doc long, doc_id long, place int, words int, left int, part int, idx long, q_doc long, q_place int, q_left int, lcp int, how int"), "lines-neighbours")
+    pairs = rows.filter("how = 2").select("doc", "place", "left", "q_doc", "q_place", "q_left", "lcp")
+    finished = None
     for k in range(len(rounds) - 1, -1, -1):
         size = 1 << k
-        ranks = rounds[k].select("doc", "place", "rank")
-        room = ~F.col("done") & (F.least("left", "q_left") - F.col("lcp") >= size)
-        open_, shut = pairs.filter(room), pairs.filter(~room)
-        mine = ranks.select(F.col("doc").alias("m_doc"), F.col("place").alias("m_place"), F.col("rank").alias("m_rank"))
-        other = ranks.select(F.col("doc").alias("o_doc"), F.col("place").alias("o_place"), F.col("rank").alias("o_rank"))
-        met = open_.join(mine, (F.col("doc") == F.col("m_doc")) & (F.col("place") + F.col("lcp") == F.col("m_place"))).join(other, (F.col("q_doc") == F.col("o_doc")) & (F.col("q_place") + F.col("lcp") == F.col("o_place")))
+        room = F.least("left", "q_left") - F.col("lcp") >= size
+        mine = rounds[k].select(F.col("doc").alias("m_doc"), F.col("place").alias("m_place"), F.col("rank").alias("m_rank"))
+        other = rounds[k].select(F.col("doc").alias("o_doc"), F.col("place").alias("o_place"), F.col("rank").alias("o_rank"))
+        # a document that a round no longer had has nothing in common over so many lines
+        met = pairs.filter(room).join(mine, (F.col("doc") == F.col("m_doc")) & (F.col("place") + F.col("lcp") == F.col("m_place")), "left").join(other, (F.col("q_doc") == F.col("o_doc")) & (F.col("q_place") + F.col("lcp") == F.col("o_place")), "left")
         met = met.withColumn("lcp", (F.col("lcp") + F.when(F.col("m_rank") == F.col("o_rank"), F.lit(size)).otherwise(0)).cast("int")).select(*pairs.columns)
-        pairs = staged(met.union(shut), "lines-pairs")
-    found = pairs.select(F.col("at").alias("a"), "lcp")
-    return order.join(found, F.col("at") == F.col("a"), "left").select("doc", "doc_id", "place", "words", "left", "part", "idx", F.coalesce("lcp", F.lit(0)).cast("int").alias("lcp"))
+        pairs = staged(met.union(pairs.filter(~room)), "lines-pairs")
+        finished = pairs
+    columns = ["doc", "doc_id", "place", "words", "left", "part", "idx", "lcp", "how"]
+    # a compared value is a row of its own next to the suffix's
+    found = {"doc": "doc", "doc_id": "0L", "place": "place", "words": "0", "left": "0", "part": "0", "idx": "0L", "lcp": "lcp", "how": "3"}
+    both = rows.select(*columns).union(finished.selectExpr(*[f"{v} AS {k}" for k, v in found.items()]))
+
+    def fill(c):
+        extra = c["how"] == 3
+        found = dict(zip(zip(c["doc"][extra].tolist(), c["place"][extra].tolist(), strict=True), c["lcp"][extra].tolist(), strict=True))
+        own = {n: x[~extra] for n, x in c.items()}
+        doc, place, lcp = own["doc"].tolist(), own["place"].tolist(), own["lcp"].tolist()
+        for i, kind in enumerate(own["how"].tolist()):
+            if kind == 2:
+                lcp[i] = found[doc[i], place[i]]
+            elif kind == 1:
+                lcp[i] = lcp[i - 1] - 1
+        yield _columns(own, columns[:-1], lcp=np.array(lcp, np.int32))
+
+    return _by_document(fill, both, "doc long, doc_id long, place int, words int, left int, part int, idx long, lcp int")
 
 
 def sweep(frontier: list, lcps: list[int], positions: list) -> tuple[list[int], list]:
@@ -274,8 +352,7 @@ def earlier_copies(suffixes: DataFrame) -> DataFrame:
 
     def of(batch):
         get = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
-        ids = [-(1 << 63) if d is None else d for d in get("doc_id")]
-        return get("lcp"), list(zip(ids, get("doc"), get("place"), strict=True))
+        return get("lcp"), list(zip(get("doc_id"), get("doc"), get("place"), strict=True))
 
     def summary(batches):
         for batch in parts_of(batches):
@@ -312,15 +389,17 @@ def earlier_copies(suffixes: DataFrame) -> DataFrame:
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, places (of lines that have words) that are in a later copy of a repeated run of at least min_words words."""
-    every = lines(docs)
-    known = staged(every.drop("line"), "lines")
-    once_each = known.dropDuplicates(["doc", "place"])
-    often = known.groupBy("h1", "h2", "doc", "place").agg(F.lit(1).alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("h1").alias("a"), F.col("h2").alias("b"))
-    repeated = staged(once_each.join(often, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b")), "left_semi"), "lines-repeated")
-    if repeated.isEmpty():
+    known = staged(lines(docs).drop("line"), "lines")
+    # a line occurs more than once if its first place isn't its last
+    here = F.struct("doc", "place")
+    often = known.groupBy("h1", "h2").agg(F.min(here).alias("low"), F.max(here).alias("high")).filter("low <> high").select(F.col("h1").alias("a"), F.col("h2").alias("b"))
+    often = staged(often, "lines-often")
+    repeated = known.join(often, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b")), "left_semi")
+    rows = staged(runs_of(repeated, min_words), "lines-repeated")
+    if rows.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc long, places array<int>")
-    order, rounds = suffix_ranks(repeated)
-    copies = earlier_copies(common_prefixes(order, rounds))
+    suffixes, rounds = suffix_ranks(rows)
+    copies = earlier_copies(common_prefixes(suffixes, rounds))
 
     def cover(c):
         total = np.concatenate([[0], np.cumsum(c["words"].astype(np.int64))])

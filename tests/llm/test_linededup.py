@@ -58,10 +58,11 @@ def test_sweep_over_cut_partitions():
 
 def test_edges(spark):
     run = "one two three four five\nsix seven eight nine ten"
-    rows = [(1, f"{run}\nown line of the first", 5, "u"), (2, f"intro words here\n\n{run}\n\nlast", 5, "u"), (3, None, None, "u"), (4, "", 0, "u"), (5, run, 5, "u"), (5, run, 5, "u"), (None, "null id", 7, "u"), (8, "short\nshort\nshort", 1, "u")]
+    rows = [(1, f"{run}\nown line of the first", 5, "u"), (2, f"intro words here\n\n{run}\n\nlast", 5, "u"), (3, None, None, "u"), (4, "", 0, "u"), (5, run, 5, "u"), (5, run, 5, "u"), (None, f"{run}\nnull id", 7, "u"), (2**60 + 1, f"big id\n{run}", 7, "u"), (8, "short\nshort\nshort", 1, "u")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, doc string")
     got = {r.doc_id: r for r in linededup.deduplicated(df).collect()}
-    assert got[1].text == rows[0][1] and got[2].text == "intro words here\n\nlast" and got[2].n_chars == len(got[2].text)
-    assert got[3].text is None and got[4].text == "" and got[5].text == "" and got[8].text == rows[7][1]
-    assert linededup.deduplicated_rows(df).count() == 6
+    assert got[None].text == rows[6][1] and got[2**60 + 1].text == "big id"
+    assert got[1].text == "own line of the first" and got[2].text == "intro words here\n\nlast" and got[2].n_chars == len(got[2].text)
+    assert got[3].text is None and got[4].text == "" and got[5].text == "" and got[8].text == rows[8][1]
+    assert linededup.deduplicated_rows(df).count() == 7
     assert linededup.deduplicated(df.limit(0)).count() == 0
