@@ -6,18 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.fixpoint import fixpoint
+from graphloom.operators.staging import cut
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 40) -> DataFrame:
-    """node, depth: least number of edges from any source (node). Only a frontier's edges are joined in a round."""
-    steps = edges.select("a", "b").distinct()
+def steps(edges: DataFrame) -> DataFrame:
+    """The distinct edges, written once: every round of a walk reads them, and the query that makes them runs once."""
+    return cut(edges.select("a", "b").distinct(), "edges")
+
+
+def walk(known: DataFrame, sources: DataFrame, max_depth: int = 40) -> DataFrame:
+    """distances() over edges that are distinct already. Only a frontier's edges are joined in a round."""
 
     def step(fresh: DataFrame) -> DataFrame:
-        return fresh.join(steps, fresh["node"] == steps["a"]).select(F.col("b").alias("node"), (F.col("depth") + 1).alias("depth"))
+        return fresh.join(known, fresh["node"] == known["a"]).select(F.col("b").alias("node"), (F.col("depth") + 1).alias("depth"))
 
     return fixpoint(sources.select("node", F.lit(0).alias("depth")), step, ["node"], max_depth, bounded=True)
 
 
+def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 40) -> DataFrame:
+    """node, depth: least number of edges from any source (node)."""
+    return walk(steps(edges), sources, max_depth)
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *[c for c in edges.columns if c not in ("a", "b")])
 
@@ -31,15 +41,17 @@ def parents(edges: DataFrame, found: DataFrame) -> DataFrame:
 
 def shortest_path_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 40) -> DataFrame:
     """a, b, depth (of b): edges of all shortest paths from the sources to the targets."""
-    tree = parents(edges, distances(edges, sources, max_depth))
+    known = steps(edges)
+    tree = cut(parents(known, walk(known, sources, max_depth)), "tree")
     back = tree.select(F.col("node").alias("a"), F.col("parent").alias("b"))
-    wanted = distances(back, targets, max_depth).select("node")
+    wanted = walk(back, targets, max_depth).select("node")
     return tree.join(wanted, "node", "left_semi").select(F.col("parent").alias("a"), F.col("node").alias("b"), "depth")
 
 
 def between(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 40) -> DataFrame:
     """Nodes on any route from a source to a target."""
-    return distances(edges, sources, max_depth).select("node").join(distances(reversed_edges(edges), targets, max_depth).select("node"), "node", "left_semi")
+    known = steps(edges)
+    return walk(known, sources, max_depth).select("node").join(walk(reversed_edges(known), targets, max_depth).select("node"), "node", "left_semi")
 
 
 def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 40) -> DataFrame:
@@ -55,8 +67,9 @@ def with_overlay(edges: DataFrame, asserted: DataFrame, rejected: DataFrame) ->
 
 def only_through(edges: DataFrame, sources: DataFrame, edge: tuple, max_depth: int = 40) -> DataFrame:
     """Nodes that are reached over one edge and not without it."""
-    without = edges.filter(~((F.col("a") == edge[0]) & (F.col("b") == edge[1])))
-    return distances(edges, sources, max_depth).select("node").join(distances(without, sources, max_depth).select("node"), "node", "left_anti")
+    known = steps(edges)
+    without = known.filter(~((F.col("a") == edge[0]) & (F.col("b") == edge[1])))
+    return walk(known, sources, max_depth).select("node").join(walk(without, sources, max_depth).select("node"), "node", "left_anti")
 
 
 def optimistic(edges: DataFrame, by_name: DataFrame, named: DataFrame, rejected: DataFrame) -> DataFrame:

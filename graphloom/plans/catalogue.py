@@ -342,8 +342,8 @@ def even_odd_hops(spark, d):
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, {reach_sql('C:1')} SELECT r.node, r.depth, e.a AS parent FROM reach r JOIN edges e ON e.b = r.node JOIN reach p ON p.node = e.a AND p.depth = r.depth - 1""")
 def path_customer_to_region(spark, d):
-    pairs = edges(spark, d)
-    return graph.parents(pairs, graph.distances(pairs, start(spark, "C:1")))
+    known = graph.steps(edges(spark, d))
+    return graph.parents(known, graph.walk(known, start(spark, "C:1")))
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, {reach_sql('S:1', name='f')}, {reach_sql('C:1', True, 'g')} SELECT node FROM f INTERSECT SELECT node FROM g")
