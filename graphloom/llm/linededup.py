@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import column, slices_by_bytes, staged
+from graphloom.llm.shared import column, parted, slices_by_bytes, staged
 
 MIN_WORDS = 8
 
@@ -441,7 +441,9 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = staged(later_copies(docs.select("doc_id", "text"), min_words), "lines-gone")
     names = docs.columns
     gone = gone.select(F.col("doc").alias("__gone"), F.col("places").alias("__places"))
-    joined = docs.withColumn("__doc", document_key()).join(gone, F.col("__doc") == F.col("__gone"), "left").select(*names, "__places")
+    named, others = parted(docs, document_key(), gone.select("__gone"))
+    # by merge at every size: the texts of documents that change are dealt once
+    joined = named.withColumn("__doc", document_key()).join(gone.hint("merge"), F.col("__doc") == F.col("__gone"), "left").select(*names, "__places")
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
 
@@ -457,7 +459,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(p or ()) for p in places], pa.int32())], names=[*names, "removed_lines"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return joined.mapInArrow(run, f"{fields}removed_lines int")
+    return joined.mapInArrow(run, f"{fields}removed_lines int").union(others.withColumn("removed_lines", F.lit(0)))
 
 
 def deduplicated_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import staged
 
 WEIGHTS = (5, 2, 1)
-LEVELS, BITS = 4, 15
+LEVELS, BITS = 6, 10
 #: Up to so many sources their table (some 100 bytes each) is sent to every task; beyond, it is joined by shuffle.
 MANY_SOURCES = 50_000
 

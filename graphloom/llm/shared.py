@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -72,3 +73,21 @@ def slices_by_bytes(batches, name: str, most: int = 8 << 20):
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+#: Slots of the filter below; the table that goes to all tasks has at most SLOTS / 64 rows of 16 bytes.
+SLOTS = 1 << 23
+
+
+def parted(rows: DataFrame, key: Column, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows in two: those whose key the one column of named may hold, and those whose key it surely doesn't.
+
+    Only the first need a join, and so a shuffle, of wide rows. Keys are hashed to SLOTS bits; the table of the bits is
+    bounded by that, whatever the input. More keys only mean more rows that may be named; a join must follow."""
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(SLOTS))
+    name = named.columns[0]
+    own = named.select(slot(F.col(name)).alias("__slot")).select(F.floor(F.col("__slot") / 64).alias("__word"), F.expr("shiftleft(1L, cast(__slot % 64 AS int))").alias("__bit"))
+    table = staged(own.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")), "filter")
+    marked = rows.withColumn("__slot", slot(key)).withColumn("__at", F.floor(F.col("__slot") / 64)).join(F.broadcast(table), F.col("__at") == F.col("__word"), "left")
+    hit = F.expr("coalesce(__bits & shiftleft(1L, cast(__slot % 64 AS int)), 0L) <> 0")
+    return marked.filter(hit).select(*rows.columns), marked.filter(~hit).select(*rows.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
-from graphloom.llm.shared import column, slices, staged
+from graphloom.llm.shared import column, parted, slices, staged
 
 SEED, NEAR, SHINGLE = 42, 3, 3
 LEAF, FAN = 32, 16
@@ -229,7 +229,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Decided by doc_id: rows with a null id are kept."""
     named = docs.filter("doc_id IS NOT NULL")
     later = near_duplicates(named).filter("component_id < doc_id").select(F.col("doc_id").alias("__later")).distinct()
-    kept = named.join(later, named["doc_id"] == F.col("__later"), "left_anti")
+    repeated = named.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__later"))
+    later = staged(later, "later-copies")
+    doubtful, others = parted(named, F.col("doc_id"), later.union(repeated))
+    kept = doubtful.join(later.hint("merge"), doubtful["doc_id"] == F.col("__later"), "left_anti")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     first = kept.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
-    return first.union(docs.filter("doc_id IS NULL"))
+    return first.union(others).union(docs.filter("doc_id IS NULL"))
