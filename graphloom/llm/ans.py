@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.packing import tokenised, vocabulary
-from graphloom.llm.shared import shared_dir, staged
+from graphloom.llm.shared import mapped, shared_dir, staged
 from graphloom.llm.tokens import default_path
 
 SCALE = 18
@@ -221,14 +221,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], names=["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for r in rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+    for r in rows.select("ids").transform(mapped, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         counts[r.id] = r.n
     freq = quantised(counts)
     spark = docs.sparkSession
     seen = np.flatnonzero(freq)
     spark.createDataFrame([(int(i), int(freq[i])) for i in seen], "id long, freq long").coalesce(1).write.parquet(f"{folder}/table")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
-    ordered.mapInArrow(_write_rows(freq, form), BLOCK_FIELDS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    ordered.transform(mapped, _write_rows(freq, form), BLOCK_FIELDS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -255,7 +255,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     data = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at + ends[:-1]), pa.array(np.diff(ends)), data], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.transform(mapped, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.shared import column, slices
+from graphloom.llm.shared import column, mapped, slices
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -319,4 +319,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
     fields = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in names)
-    return pages.select(*names, html).mapInArrow(run, f"{fields}text string, n_chars long")
+    return pages.select(*names, html).transform(mapped, run, f"{fields}text string, n_chars long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import column, slices_by_bytes
+from graphloom.llm.shared import column, mapped, slices_by_bytes
 
 HIDDEN, STRETCH = 8, 128
 PER_LANGUAGE, PER_DOCUMENT = 400, 3
@@ -212,7 +212,7 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, per_documen
                 langs, _, data = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary())], names=["lang", "data"])
 
-    rows = sorted((r.lang, bytes(r.data)) for r in sample.mapInArrow(cut, "lang string, data binary").collect())  # bounded by the two parameters
+    rows = sorted((r.lang, bytes(r.data)) for r in sample.transform(mapped, cut, "lang string, data binary").collect())  # bounded by the two parameters
     labels = sorted({lang for lang, _ in rows})
     grid = np.zeros((len(rows), STRETCH), np.uint8)
     for k, (_, data) in enumerate(rows):
@@ -252,7 +252,7 @@ def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(label, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    return docs.select(*names, "text").mapInArrow(run, f"{fields}lang_pred string, score double")
+    return docs.select(*names, "text").transform(mapped, run, f"{fields}lang_pred string, score double")
 
 
 def held_out():
@@ -275,4 +275,4 @@ def identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
             label, score = judged(model, column(batch, "text").to_pylist())
             yield batch.filter(pa.array((label != "und") & (score >= least), pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(mapped, keep, docs.schema)

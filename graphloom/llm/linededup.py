@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import column, parted, slices_by_bytes, staged
+from graphloom.llm.shared import column, mapped, parted, slices_by_bytes, staged
 
 MIN_WORDS = 8
 
@@ -64,7 +64,7 @@ def lines(docs: DataFrame) -> DataFrame:
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(number, pa.int32()), pa.array(words, pa.int32()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))], names=["doc", "doc_id", "place", "line", "words", "h1", "h2"])
 
-    return docs.select(document_key().alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").mapInArrow(run, "doc long, doc_id long, place int, line int, words int, h1 long, h2 long")
+    return docs.select(document_key().alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").transform(mapped, run, "doc long, doc_id long, place int, line int, words int, h1 long, h2 long")
 
 
 def _numbered(rows: DataFrame, keys: list[str], tie: list[str], name: str) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +81,7 @@ def _numbered(rows: DataFrame, keys: list[str], tie: list[str], name: str) -> tu
             done += n
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    table = staged(ordered.mapInArrow(number, f"{fields}, part int, idx long"), name)
+    table = staged(ordered.transform(mapped, number, f"{fields}, part int, idx long"), name)
     parts = table.groupBy("part").agg(F.count("*").alias("n"), F.min_by(F.struct(*keys), "idx").alias("first"), F.max_by(F.struct(*keys), "idx").alias("last"))
     return table, parts
 
@@ -117,7 +117,7 @@ def _ranked(rows: DataFrame, major: list[str], minor: list[str], name: str) -> D
 
     # rows of a part are read in order by one task
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
-    local = staged(table.repartition("part").sortWithinPartitions("part", "idx").mapInArrow(begins, f"{fields}, in_major long, in_keys long, alone boolean"), name)
+    local = staged(table.repartition("part").sortWithinPartitions("part", "idx").transform(mapped, begins, f"{fields}, in_major long, in_keys long, alone boolean"), name)
     ends = local.groupBy("part").agg(F.max_by(F.struct("in_major", "in_keys"), "idx").alias("e")).select(F.col("part").alias("p"), "e.*")
     stats = parts.join(ends, F.col("part") == F.col("p")).orderBy("part").collect()  # a row for each partition
     base, before, info = 0, None, []
@@ -154,7 +154,7 @@ def _by_document(run, rows: DataFrame, schema: str) -> DataFrame:
         if held is not None:
             yield from run({n: np.asarray(held.column(i)) for i, n in enumerate(names)})
 
-    return rows.repartition("doc").sortWithinPartitions("doc", "place").mapInArrow(whole, schema)
+    return rows.repartition("doc").sortWithinPartitions("doc", "place").transform(mapped, whole, schema)
 
 
 def _runs(c: dict) -> np.ndarray:
@@ -262,7 +262,7 @@ def common_prefixes(suffixes: DataFrame, rounds: list[DataFrame]) -> DataFrame:
             how = np.where(same_rank | (own[3] != other[3]), 0, np.where(follows, 1, 2))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in ("doc", "doc_id", "place", "words", "left", "part", "idx")), pa.array(other[0]), *(pa.array(x.astype(np.int32)) for x in (other[1], other[2], lcp, how))], names=["doc", "doc_id", "place", "words", "left", "part", "idx", "q_doc", "q_place", "q_left", "lcp", "how"])
 
-    rows = staged(order.select(*names, "part", "idx").repartition("part").sortWithinPartitions("part", "idx").mapInArrow(neighbours, "doc long, doc_id long, place int, words int, left int, part int, idx long, q_doc long, q_place int, q_left int, lcp int, how int"), "lines-neighbours")
+    rows = staged(order.select(*names, "part", "idx").repartition("part").sortWithinPartitions("part", "idx").transform(mapped, neighbours, "doc long, doc_id long, place int, words int, left int, part int, idx long, q_doc long, q_place int, q_left int, lcp int, how int"), "lines-neighbours")
     pairs = rows.filter("how = 2").select("doc", "place", "left", "q_doc", "q_place", "q_left", "lcp")
     finished = None
     for k in range(len(rounds) - 1, -1, -1):
@@ -362,7 +362,7 @@ def earlier_copies(suffixes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(batch.schema.get_field_index("part"))[0].as_py()], pa.int32()), pa.array([lcps[0]], pa.int32()), pa.array([min(lcps[1:], default=1 << 30)], pa.int32()), *(pa.array([[x for p, pos in f for x in (p, *pos)]], pa.list_(pa.int64())) for f in (forth, back))], names=["part", "first", "least", "forth", "back"])
 
     dealt = rows.repartition("part").sortWithinPartitions("part", "idx")
-    stats = dealt.mapInArrow(summary, "part int, first int, least int, forth array<long>, back array<long>").orderBy("part").collect()  # a row for each partition, with at most as many numbers as lines in a run
+    stats = dealt.transform(mapped, summary, "part int, first int, least int, forth array<long>, back array<long>").orderBy("part").collect()  # a row for each partition, with at most as many numbers as lines in a run
     unflat = lambda x: [(x[i], tuple(x[i + 1 : i + 4])) for i in range(0, len(x), 4)]
     left, right, now = {}, {}, []
     for s in stats:
@@ -384,7 +384,7 @@ def earlier_copies(suffixes: DataFrame) -> DataFrame:
             copy = [max(a, b) for a, b in zip(forth, reversed(back), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in ("doc", "place", "words")), pa.array(copy, pa.int32())], names=["doc", "place", "words", "copy"])
 
-    return dealt.mapInArrow(find, "doc long, place int, words int, copy int")
+    return dealt.transform(mapped, find, "doc long, place int, words int, copy int")
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -459,7 +459,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(p or ()) for p in places], pa.int32())], names=[*names, "removed_lines"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return joined.mapInArrow(run, f"{fields}removed_lines int").union(others.withColumn("removed_lines", F.lit(0)))
+    return joined.transform(mapped, run, f"{fields}removed_lines int").union(others.withColumn("removed_lines", F.lit(0)))
 
 
 def deduplicated_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

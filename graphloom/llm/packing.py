@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import column, slices_by_bytes, staged
+from graphloom.llm.shared import column, mapped, slices_by_bytes, staged
 from graphloom.llm.tokens import default_path, encoder, gather
 
 WINDOW, GROUP_WINDOWS = 1024, 128
@@ -48,7 +48,7 @@ def tokenised(docs: DataFrame, kind: str, path: str, end: int, queue: str | None
             yield with_end(batch, names, part, before, flat, starts, end, np.dtype("<u4" if wide else "<u2"))
 
     fields = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in names)
-    return docs.select(*names, "text").mapInArrow(run, f"{fields}part int, own long, n_tokens long, ids binary")
+    return docs.select(*names, "text").transform(mapped, run, f"{fields}part int, own long, n_tokens long, ids binary")
 
 
 def with_end(batch, names, part, before, flat, starts, end, form) -> pa.RecordBatch:
@@ -264,6 +264,6 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 0, weights: dict[s
         bases = F.broadcast(bases)
     placed = rows.join(bases, F.col("part").eqNullSafe(F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     known = placed.select("queue", (F.col("base") + F.col("own")).alias("position"), "doc_id", "n_tokens", "ids")
-    cut = known.mapInArrow(_queue_slices(shares, width, form), f"group long, queue int, position long, doc_id {kind}, doc_tokens long, start long, ids binary")
+    cut = known.transform(mapped, _queue_slices(shares, width, form), f"group long, queue int, position long, doc_id {kind}, doc_tokens long, start long, ids binary")
     dealt = cut.repartition("group").sortWithinPartitions("group", "queue", "position")
-    return dealt.mapInArrow(_fill_groups(form, window, group_windows), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.transform(mapped, _fill_groups(form, window, group_windows), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

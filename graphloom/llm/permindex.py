@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import staged
+from graphloom.llm.shared import mapped, staged
 
 PIVOTS, SEEN, SAMPLE = 96, 48, 1024
 #: Share of a block's rows, by footrule, that are compared exactly, and rows that are compared in any case.
@@ -146,7 +146,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
                 hits = [own.best(v, i, o, k, share) for v, i, o in zip(q, ids.tolist(), wanted, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(h[0]) for h in hits])), pa.array(np.concatenate([h[0] for h in hits])), pa.array(np.concatenate([h[1] for h in hits]))], names=["query_id", "vec_id", "score"])
 
-        part_found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
+        part_found = rows.transform(mapped, run, "query_id long, vec_id long, score double")
         found = part_found if found is None else found.union(part_found)
     if found is None:
         return empty

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -46,6 +49,27 @@ def drop_staged(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session has Spark's default (64 MB): bounds what both sides hold of long texts.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def _trimmed(run, batches):
+    """run(batches); at the end a worker, which Spark keeps for other tasks, gives its free memory back."""
+    yield from run(batches)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not a C library with this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded size, by workers that don't keep the memory of their largest task."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(functools.partial(_trimmed, run), schema)
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches cut to at most so many rows each: bounds the memory of vectorised work on texts."""
     for batch in batches:

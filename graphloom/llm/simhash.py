@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
-from graphloom.llm.shared import column, parted, slices, staged
+from graphloom.llm.shared import column, mapped, parted, slices, staged
 
 SEED, NEAR, SHINGLE = 42, 3, 3
 LEAF, FAN = 32, 16
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.array([text_fingerprint(t) for t in column(batch, "text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").transform(mapped, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def turned(fp: np.ndarray, by: np.ndarray | int) -> np.ndarray:
@@ -209,7 +209,7 @@ def links(distinct: DataFrame) -> DataFrame:
         heavy = heavy.select(F.col("block").cast("long"), F.col("value").cast("long"), F.explode(parts).cast("long").alias("part"), "fp")
         dealt = light.union(heavy)
     sorted_rows = dealt.repartition("block", "value", "part").sortWithinPartitions("block", "value", "part")
-    return sorted_rows.mapInArrow(_group_links, "a long, b long")
+    return sorted_rows.transform(mapped, _group_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

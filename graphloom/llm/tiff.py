@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import column, slices
+from graphloom.llm.shared import column, mapped, slices
 
 WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 2048, 256
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
@@ -238,7 +238,7 @@ def pages(media: DataFrame, key: str = "doc_id", value: str = "media") -> DataFr
 
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), to_arrow_schema(schema), strict=True)], schema=to_arrow_schema(schema))
 
-    return media.select(key, value).mapInArrow(run, schema)
+    return media.select(key, value).transform(mapped, run, schema)
 
 
 def to_payload(text: str | None) -> tuple[bytes, int]:
@@ -254,7 +254,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             made = [to_payload(t) for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([write_tiff(p) for p, _ in made], pa.binary())], names=[key, "n_bytes", "media"])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select(key, "text").transform(mapped, run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def features(payload: np.ndarray, n_pages: int) -> str:
@@ -280,7 +280,7 @@ def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, f"{key} {media.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.transform(mapped, run, f"{key} {media.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
