@@ -80,3 +80,68 @@ def merged_traces(edges: DataFrame, observed: DataFrame) -> DataFrame:
     flagged = edges.join(observed.select("a", "b").distinct().withColumn("seen", F.lit(True)), ["a", "b"], "left").select("a", "b", "tier", F.coalesce("seen", F.lit(False)).alias("seen"))
     new = observed.select("a", "b").distinct().join(edges.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.lit("known_edge").alias("tier"), F.lit(True).alias("seen"))
     return flagged.union(new)
+
+
+def edges_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 40) -> DataFrame:
+    """a, b: edges of all routes from a source to a target."""
+    known = graph.steps(edges)
+    inside = graph.between(known, sources, targets, max_depth).select("node")
+    return known.join(inside.select(F.col("node").alias("a")), "a", "left_semi").join(inside.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+
+
+def counts(edges: DataFrame) -> DataFrame:
+    """One row about edges (site, target, tier): sites, those with a target in the project, at its boundary, asserted, and open ones."""
+    sites = lambda c: F.countDistinct(F.when(c, F.col("site")))
+    boundary = F.col("tier").startswith("boundary")
+    return edges.agg(F.countDistinct("site").alias("sites"), sites(F.col("target").isNotNull() & ~boundary).alias("resolved"), sites(boundary).alias("boundary"), sites(F.col("tier") == "asserted").alias("asserted"), sites(F.col("tier").startswith("ambiguous_")).alias("open"))
+
+
+def verified(answer: DataFrame, edges: DataFrame) -> DataFrame:
+    """The answer's rows (a, b, …) with held: whether the graph has the edge."""
+    return answer.join(edges.select("a", "b").distinct().withColumn("held", F.lit(True)), ["a", "b"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def current_links(asserted: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Asserted edges (a, b, file, line, text) whose line still reads as it did, and those that have to be looked at again. lines: file, line, text."""
+    now = lines.select("file", "line", F.trim("text").alias("now"))
+    met = asserted.join(now, ["file", "line"], "left").withColumn("same", F.coalesce(F.col("now") == F.trim("text"), F.lit(False)))
+    return met.filter("same").select(*asserted.columns), met.filter(~F.col("same")).select(*asserted.columns)
+
+
+def beneath(tests: DataFrame, setups: DataFrame) -> DataFrame:
+    """test, setup: tests (test) in the folder, or below it, of a set-up file (setup). Joined on the folder, of which a path has a few."""
+    from graphloom.functions.text import prefixes
+
+    folder = lambda c: F.when(F.col(c).contains("/"), F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))
+    above = tests.select("test", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), prefixes(folder("test"), "/")))).alias("folder"))
+    return above.join(setups.select("setup", folder("setup").alias("folder")), "folder").select("test", "setup")
+
+
+def commands(changed: DataFrame, runners: DataFrame) -> DataFrame:
+    """path, command of changed files (path) by the longest folder that a runner has (folder, command, with {} for the path)."""
+    from graphloom.functions.text import prefixes
+
+    each = changed.select("path", F.explode(prefixes(F.col("path"), "/")).alias("folder"))
+    best = each.join(runners, "folder").groupBy("path").agg(F.max_by("command", F.length("folder")).alias("command"))
+    return best.select("path", F.replace("command", F.lit("{}"), F.col("path")).alias("command"))
+
+
+def over_languages(graphs: dict[str, DataFrame], main: str) -> DataFrame:
+    """One answer a language as one table with lang and main (whether it is the project's first language)."""
+    out = None
+    for lang in sorted(graphs, key=lambda k: (k != main, k)):
+        part = graphs[lang].withColumn("lang", F.lit(lang)).withColumn("main", F.lit(lang == main))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def used_packages(imports: DataFrame, installed: DataFrame) -> DataFrame:
+    """package: installed packages (package, module) of which something is imported (name, dotted)."""
+    return installed.join(imports.select(F.substring_index("name", ".", 1).alias("module")).distinct(), "module", "left_semi").select("package").distinct()
+
+
+def what_if(edges: DataFrame, added: DataFrame, sources: DataFrame, max_depth: int = 40) -> DataFrame:
+    """node, depth: what the sources reach with further edges and not without them."""
+    known = graph.steps(edges)
+    more = graph.steps(known.union(added.select("a", "b")))
+    return graph.walk(more, sources, max_depth).join(graph.walk(known, sources, max_depth).select("node"), "node", "left_anti")

@@ -528,3 +528,6 @@ def filled_by_fallback(spark, d):
     near = F.broadcast(table(spark, d, "nation").filter("n_regionkey < 3"))
     joined = table(spark, d, "customer").join(near, F.col("c_nationkey") == F.col("n_nationkey"), "left").withColumn("label", F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")))
     return relalg.fill(joined, "label", F.col("n_name")).select("c_custkey", "label")
+
+
+from graphloom.plans import extended as _extended  # noqa: E402, F401  (registers further queries)
