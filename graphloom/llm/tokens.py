@@ -176,7 +176,7 @@ class WordEncoder(PieceEncoder):
             texts = pc.replace_substring(texts, space, " ")
         return pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([,.]) ", r"\1 \2 ")
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         super().__init__(path, keep)
         self.mark = self.whole([self.MARK])[0]
 
