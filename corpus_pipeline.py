@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, linededup, mixing, packing, simhash
+from graphloom.llm import langid, linededup, mixing, nearcopies, packing
 from graphloom.llm.shared import staged
 
 
@@ -20,8 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.one_of_each(docs)
+    """Documents of which a near copy (five-word shingles, Jaccard 0.8 or more) with a smaller id stays go."""
+    return nearcopies.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
