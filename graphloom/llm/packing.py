@@ -1,16 +1,18 @@
 """Mixture-controlled packing: deficit round-robin over source queues into windows of fixed length.
 
-Every source is a queue of its documents' tokens. The target proportions say how many tokens of each source the first W
-tokens of the output hold; this is a closed form (``Shares``), so the output is cut into groups of windows and each group
-knows which stretch of each queue it serves without looking at any other: the deficit that a source is owed at a group's
-start is the fraction that the closed form carries over, less than a token for each step of its tree. Inside a group,
-each round gives every queue a quantum in proportion to its target; a queue is served while its deficit is positive and
-an overdraft is paid back in later rounds and windows, so documents stay whole but for the ends of windows and groups.
+Every source is a queue of its documents' tokens. A round of the robin fills one window: each queue is owed its target
+share of the window and what it was owed before, is served the whole tokens of that, its document cut there, and carries
+the rest, less than a token for each level of a tree over the queues, to the next window. What a queue has been served
+after W tokens is a closed form of W (``Shares``), so the output is cut into groups of windows: each group knows which
+stretch of each queue it serves and the deficits that it starts with, without looking at any other group or partition.
+Every window but the last so holds its sources in the target proportions to within those few tokens.
 By default the targets are the sources' own shares of all tokens, which hold from the first window to the last. Given
 weights hold until a source is empty; the others then go on in proportion to theirs.
 
-Nulls: a null text is empty and has only the end id; null sources form one source. Empty tables give no rows. Repeated
-rows are packed as often as they are there. No skew: queues are cut by token position, not by source."""
+Nulls: a null text is empty and has only the end id; null sources form one source, null ids are kept. Empty tables give no
+rows. Repeated rows and ids are packed as often as they are there. Texts of any length are cut at windows; no text is
+needed whole after it is tokenised. Further columns are not read, whatever their names. No skew: queues are cut by token
+position, not by source."""
 
 from __future__ import annotations
 
@@ -29,7 +31,7 @@ WINDOW, GROUP_WINDOWS = 1024, 128
 SMALL_TABLE = 500_000
 
 
-def tokenised(docs: DataFrame, kind: str, path: str, end: int, queue: str | None = None) -> DataFrame:
+def tokenised(docs: DataFrame, kind: str, path: str, end: int, queue: str | None = None, table_bytes: int | None = None) -> DataFrame:
     """doc_id, the queue's column, part (number of the input partition), own (ids of the queue before it in its part), n_tokens, ids (little-endian, 16 bits where the vocabulary allows) with the end id."""
     wide = vocabulary(path) > 65536
     names = ["doc_id", *([queue] if queue else [])]
@@ -38,7 +40,7 @@ def tokenised(docs: DataFrame, kind: str, path: str, end: int, queue: str | None
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder, sums = encoder(kind, path), {}
+        coder, sums = encoder(kind, path, table_bytes), {}
         for batch in slices_by_bytes(batches, "text"):
             flat, starts = coder.ids(column(batch, "text"))
             before = []
@@ -48,7 +50,7 @@ def tokenised(docs: DataFrame, kind: str, path: str, end: int, queue: str | None
             yield with_end(batch, names, part, before, flat, starts, end, np.dtype("<u4" if wide else "<u2"))
 
     fields = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in names)
-    return docs.select(*names, "text").transform(mapped, run, f"{fields}part int, own long, n_tokens long, ids binary")
+    return docs.select(*names, "text").transform(mapped, run, f"{fields}part int, own long, n_tokens long, ids binary", keeps=True)
 
 
 def with_end(batch, names, part, before, flat, starts, end, form) -> pa.RecordBatch:
@@ -121,6 +123,13 @@ class Shares:
             step //= 2
         return done[source] + y
 
+    def served(self, sources: list[int], start: int, end: int, window: int) -> np.ndarray | None:
+        """As served, for the output's tokens from start to end, if a source runs empty in between."""
+        if bisect_right(self.starts, start) == bisect_right(self.starts, end - 1):
+            return None
+        upto = [*range(start, end, window), end]
+        return np.array([[self.taken(j, x) - self.taken(j, start) for j in sources] for x in upto], np.int64)
+
     def group(self, source: int, position: int, width: int) -> int:
         """The group of width tokens that serves this position of the queue."""
         low, high = 0, -(-self.total // width) - 1
@@ -133,34 +142,45 @@ class Shares:
         return low
 
 
-def fill(lengths: list[list[int]], window: int = WINDOW) -> list[tuple[int, int, int, int, int, int]]:
-    """Deficit round-robin over queues of piece lengths: (queue, piece, start in it, length, window, offset) in order."""
-    amounts = [sum(q) for q in lengths]
-    total = sum(amounts)
-    active = [j for j, a in enumerate(amounts) if a]
-    heads, inside, deficit = [0] * len(lengths), [0] * len(lengths), [0.0] * len(lengths)
-    out, at_window, offset = [], 0, 0
-    while active:
-        following = []
-        for j in active:
-            deficit[j] += window * amounts[j] / total
-            queue, head, start = lengths[j], heads[j], inside[j]
-            while head < len(queue) and deficit[j] > 0:
-                take = min(queue[head] - start, window - offset)
-                if take:
-                    out.append((j, head, start, take, at_window, offset))
-                deficit[j] -= take
-                offset += take
-                start += take
-                if start == queue[head]:
-                    head, start = head + 1, 0
-                if offset == window:
-                    at_window, offset = at_window + 1, 0
-            heads[j], inside[j] = head, start
-            if head < len(queue):
-                following.append(j)
-        active = following
-    return out
+def served(amounts: np.ndarray, window: int) -> np.ndarray:
+    """Row k: tokens of each queue that the first k windows of a group hold; the last row: amounts.
+
+    The first k windows have k * window tokens; a node of a tree over the queues hands floor(tokens * left / all) of its own
+    to its left side, the rest to its right. So no queue goes back, rows sum up exactly, and each queue stays within a token a
+    level of its share."""
+    total = int(amounts.sum())
+    size = 1
+    while size < len(amounts):
+        size *= 2
+    sums = [np.concatenate([amounts, np.zeros(size - len(amounts), np.int64)])]
+    while len(sums[-1]) > 1:
+        sums.append(sums[-1].reshape(-1, 2).sum(axis=1))
+    has = np.minimum(np.arange(-(-total // window) + 1) * window, total)[:, None]
+    for below, here in zip(sums[-2::-1], sums[:0:-1], strict=True):
+        left = has * below[::2] // np.maximum(here, 1)
+        has = np.stack([left, has - left], axis=2).reshape(len(has), -1)
+    return has[:, : len(amounts)]
+
+
+def fill(lengths: list[np.ndarray], window: int = WINDOW, ends: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Rounds over queues of piece lengths: columns piece (counted over all queues), start in it, length, window, offset, in order.
+
+    ends: as of served, where the targets change inside the group."""
+    amounts = np.array([q.sum() for q in lengths], np.int64)
+    ends = served(amounts, window) if ends is None else ends
+    rounds = len(ends) - 1
+    # all queues behind each other on one axis, cut where a piece ends and where a window has had its share
+    every = np.concatenate(lengths)
+    begins = np.cumsum(every) - every
+    base = np.cumsum(amounts) - amounts
+    shares = (ends[:-1] + base).T.ravel()  # by queue, then window
+    cuts = np.unique(np.concatenate([begins, shares, [amounts.sum()]]))
+    start, length = cuts[:-1], np.diff(cuts)
+    piece = np.searchsorted(begins, start, side="right") - 1
+    queue, at = np.divmod(np.searchsorted(shares, start, side="right") - 1, rounds)
+    order = np.lexsort((start, queue, at))
+    piece, start, length, at = piece[order], start[order] - begins[piece[order]], length[order], at[order]
+    return piece, start, length, at, np.cumsum(length) - length - at * window
 
 
 def _queue_slices(shares: Shares, width: int, form: np.dtype):
@@ -199,7 +219,7 @@ def _queue_slices(shares: Shares, width: int, form: np.dtype):
     return run
 
 
-def _fill_groups(form: np.dtype, window: int, group_windows: int):
+def _fill_groups(shares: Shares, form: np.dtype, window: int, group_windows: int):
     """Partitions sorted by group, queue, position: the pieces of each group's windows; groups may go over batches."""
 
     def of(rows: pa.Table):
@@ -212,14 +232,14 @@ def _fill_groups(form: np.dtype, window: int, group_windows: int):
         tokens = data[offsets[0] : offsets[-1]].view(form).astype("<u4")
         row_at = (offsets[:-1] - offsets[0]) // form.itemsize
         lengths = np.diff(offsets) // form.itemsize
-        found = fill([lengths[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)], window)
-        queue, piece, start, length, win, offset = np.array(found, np.int64).T
-        row = np.array(bounds)[queue] + piece
+        group = int(rows.column("group")[0].as_py())
+        begin = group * group_windows * window
+        ends = shares.served([int(queues[a]) for a in bounds[:-1]], begin, begin + int(lengths.sum()), window)
+        row, start, length, win, offset = fill([lengths[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], window, ends)
         flat, at = gather(tokens, row_at[row] + start, length)
         packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.concatenate([at, [len(flat)]]) * 4).astype(np.int32)), pa.py_buffer(flat)])
         take = pa.array(row)
         pick = lambda name: rows.column(name).combine_chunks().take(take)
-        group = int(rows.column("group")[0].as_py())
         return pa.RecordBatch.from_arrays([pick("doc_id"), pa.array(np.asarray(pick("start")) + start), pa.array(length), packed, pick("doc_tokens"), pa.array(group * group_windows + win), pa.array(offset)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     def run(batches):
@@ -241,14 +261,15 @@ def _fill_groups(form: np.dtype, window: int, group_windows: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, end: int = 0, weights: dict[str | None, float] | None = None, window: int = WINDOW, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, end: int = 0, weights: dict[str | None, float] | None = None, window: int = WINDOW, group_windows: int = GROUP_WINDOWS, table_bytes: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (32 bits each), doc_tokens, sequence_id, offset.
 
     A sequence is its pieces by offset; all are window tokens long but the last. weights: target proportion of each
-    source (sources without one come last, in proportion to their size); None: as the sources are."""
+    source (sources without one come last, in proportion to their size); None: as the sources are. table_bytes: bound of the
+    table of encoded pieces that a worker keeps; less costs time, not memory."""
     path = path or default_path("byte_bpe_50k.json")
     form = np.dtype("<u4" if vocabulary(path) > 65536 else "<u2")
-    rows = staged(tokenised(docs, "byte", path, end, "source"), "pack-tokens")
+    rows = staged(tokenised(docs, "byte", path, end, "source", table_bytes), "pack-tokens")
     order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("source", "part").agg(F.sum("n_tokens").alias("tokens"))
     parts = staged(parts.withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0).cast("long"))), "pack-parts")
@@ -266,4 +287,4 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 0, weights: dict[s
     known = placed.select("queue", (F.col("base") + F.col("own")).alias("position"), "doc_id", "n_tokens", "ids")
     cut = known.transform(mapped, _queue_slices(shares, width, form), f"group long, queue int, position long, doc_id {kind}, doc_tokens long, start long, ids binary")
     dealt = cut.repartition("group").sortWithinPartitions("group", "queue", "position")
-    return dealt.transform(mapped, _fill_groups(form, window, group_windows), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.transform(mapped, _fill_groups(shares, form, window, group_windows), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -16,10 +16,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset (tests), an own one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only on one machine (tests), where it may be unset, an own one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not (spark.conf.get("spark.master", "local") + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
@@ -54,20 +56,33 @@ BATCH_BYTES = 8 << 20
 BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def _trimmed(run, batches):
+_kept: list = []
+
+
+def between_tasks(forget) -> None:
+    """Have a worker call forget before each task that isn't run with keeps=True: frees what other tasks keep between them."""
+    _kept.append(forget)
+
+
+def _trimmed(run, keeps, batches):
     """run(batches); at the end a worker, which Spark keeps for other tasks, gives its free memory back."""
+    if not keeps:
+        for forget in _kept:
+            forget()
     yield from run(batches)
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not a C library with this call
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow in batches of bounded size, by workers that don't keep the memory of their largest task."""
+def mapped(df: DataFrame, run, schema, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow in batches of bounded size, by workers that don't keep the memory of their largest task.
+
+    keeps: what tasks of this kind keep between them (a table of token ids) stays in the worker."""
     conf = df.sparkSession.conf
     if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
         conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(functools.partial(_trimmed, run), schema)
+    return df.mapInArrow(functools.partial(_trimmed, run, keeps), schema)
 
 
 def slices(batches, rows: int = 1000):
@@ -103,15 +118,24 @@ def slices_by_bytes(batches, name: str, most: int = 8 << 20):
 SLOTS = 1 << 23
 
 
+def unused(name: str, names: list[str]) -> str:
+    """A column name that none of names is, upper and lower case alike."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def parted(rows: DataFrame, key: Column, named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows in two: those whose key the one column of named may hold, and those whose key it surely doesn't.
 
     Only the first need a join, and so a shuffle, of wide rows. Keys are hashed to SLOTS bits; the table of the bits is
     bounded by that, whatever the input. More keys only mean more rows that may be named; a join must follow."""
     slot = lambda k: F.pmod(F.xxhash64(k), F.lit(SLOTS))
-    name = named.columns[0]
-    own = named.select(slot(F.col(name)).alias("__slot")).select(F.floor(F.col("__slot") / 64).alias("__word"), F.expr("shiftleft(1L, cast(__slot % 64 AS int))").alias("__bit"))
-    table = staged(own.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")), "filter")
-    marked = rows.withColumn("__slot", slot(key)).withColumn("__at", F.floor(F.col("__slot") / 64)).join(F.broadcast(table), F.col("__at") == F.col("__word"), "left")
-    hit = F.expr("coalesce(__bits & shiftleft(1L, cast(__slot % 64 AS int)), 0L) <> 0")
+    bit = lambda s: F.expr(f"shiftleft(1L, cast({s} % 64 AS int))")
+    own = named.select(slot(F.col(named.columns[0])).alias("slot")).select(F.floor(F.col("slot") / 64).alias("word"), bit("slot").alias("bit"))
+    at, word, bits = (unused(n, rows.columns) for n in ("slot_of", "slot_word", "slot_bits"))
+    table = staged(own.groupBy(F.col("word").alias(word)).agg(F.bit_or("bit").alias(bits)), "filter")
+    marked = rows.withColumn(at, slot(key)).join(F.broadcast(table), F.floor(F.col(at) / 64) == F.col(word), "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit(f"`{at}`")), F.lit(0)) != 0
     return marked.filter(hit).select(*rows.columns), marked.filter(~hit).select(*rows.columns)

@@ -2,67 +2,66 @@
 
 Fingerprint: 64 bits, each set if more than half of the hashes of a document's 3-word shingles (repeats count) have it.
 
-Links: fingerprints that differ in at most three bits agree on one of four 16-bit blocks. For each block the distinct
-fingerprints are dealt by the block's value and sorted by the Gray rank of the fingerprint turned so that the block comes
-first. In that order, neighbours share long masked bit patterns; runs of fingerprints form leaves, runs of leaves form
-upper nodes, each with the bits that all of its members share. A search compares node with node: bits in which two
-patterns differ are differences of every pair below, they only add up on the way down, and a pair of nodes with more than
-three is pruned with all that stands under it. A block value that very many fingerprints share is split by the blocks of
-the bits that are left, until groups are small. From each group only a spanning forest of its links goes on.
+Links: fingerprints that differ in at most three bits agree on one of four 16-bit blocks. For each block all distinct
+fingerprints are turned so that the block comes first and sorted by Gray rank over range partitions; a block value is never
+cut. In that order neighbours share long masked bit patterns. A partition is cut, at block values, into stretches of bounded
+size; runs of fingerprints form leaves, runs of leaves upper nodes, each with the bits that all of its members share. A
+search compares node with node from the top: bits in which two patterns differ are differences of every pair below, they only
+add up on the way down, and a pair of nodes with more than three, or with one in the block itself (such pairs are found under
+another block), is pruned with all that stands under it. A block value that very many fingerprints share is split by further
+bits, a quarter of those left at a time, of which again one agrees, until groups are small; as a group has no more
+fingerprints than its free bits can tell apart, that ends. From each stretch only a spanning forest of its links goes on.
 
 Nulls and texts without words have fingerprint zero and link to each other. Null ids are kept as rows; a component whose
-ids are all null has a null component_id. Repeated rows give repeated rows."""
+ids are all null has a null component_id. Repeated rows give repeated rows; equal texts tie and have one fingerprint. Texts
+of any length are read whole, their shingles in bounded stretches. An empty table gives no rows. Further columns are not read,
+whatever their names."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import nearcopies
 from graphloom.llm.components import connected_components
-from graphloom.llm.shared import column, mapped, parted, slices, staged
+from graphloom.llm.shared import column, mapped, slices_by_bytes, staged
 
 SEED, NEAR, SHINGLE = 42, 3, 3
-LEAF, FAN = 32, 16
-#: A group of more fingerprints than this with one block value is split by its other bits (exact, see above).
-LARGE = 4096
+LEAF, FAN = 16, 16
+#: Fingerprints of a stretch; a group of more with one block value is split by its other bits (exact, see above).
+LARGE = 1 << 14
+ALL = (1 << 64) - 1
 
 
 def text_fingerprint(text: str | None) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    n = len(words)
+    n = len(words) - SHINGLE + 1
     hashed = xxhash.xxh64_intdigest
-    if n < SHINGLE:
+    if n < 1:
         return hashed(b" ".join(words), SEED)
-    made = [hashed(b" ".join(s), SEED) for s in zip(words, words[1:], words[2:], strict=False)]
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(made), 65536):
-        part = np.array(made[at : at + 65536], ">u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = counts * 2 > len(made)
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+    for at in range(0, n, 65536):
+        part = words[at : min(at + 65536, n) + SHINGLE - 1]
+        counts += nearcopies.set_bits(np.array([hashed(b" ".join(s), SEED) for s in zip(part, part[1:], part[2:], strict=False)], np.uint64))
+    return nearcopies.majority(counts, n)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp: 64 bits as a signed long."""
 
     def run(batches):
-        for batch in slices(batches, 500):
+        for batch in slices_by_bytes(batches, "text", 2 << 20):
             found = np.array([text_fingerprint(t) for t in column(batch, "text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").transform(mapped, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def turned(fp: np.ndarray, by: np.ndarray | int) -> np.ndarray:
-    by = np.asarray(by, np.uint64)
-    return (fp << by) | (fp >> ((np.uint64(64) - by) & np.uint64(63))) if np.any(by) else fp
-
-
 def gray_rank(fp: np.ndarray) -> np.ndarray:
     """Place of a bit pattern in the reflected Gray sequence."""
     rank = fp.copy()
@@ -71,10 +70,6 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return rank
 
 
-def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
 def index_levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pattern and mask of shared bits of each node, leaves first, over fingerprints in Gray order."""
     levels, pattern, mask, size = [], fps, np.full(len(fps), ~np.uint64(0)), LEAF
@@ -87,28 +82,29 @@ def index_levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return levels or [(fps, np.full(len(fps), ~np.uint64(0)))]
 
 
-def near_pairs(fps: np.ndarray, block: int = 1 << 16):
-    """Index pairs (i < j) of fingerprints in Gray order that differ in at most NEAR bits, in bounded blocks."""
+def near_pairs(fps: np.ndarray, agree: int = 0, block: int = 1 << 16, seen: dict | None = None):
+    """Index pairs (i < j) of fingerprints in Gray order that differ in at most NEAR bits and in none of agree, in bounded blocks.
+
+    seen: counts the pairs of nodes that were compared, and those that were pruned."""
     n = len(fps)
     if n < 2:
         return
-    if n <= LEAF:
-        for shift in range(1, n):
-            hit = np.flatnonzero(differences(fps[:-shift], fps[shift:]) <= NEAR)
-            if len(hit):
-                yield hit, hit + shift
-        return
+    must = np.uint64(agree)
     levels = index_levels(fps)
     todo = [(len(levels) - 1, np.array([0]), np.array([0]))]
     while todo:
         level, a, b = todo.pop()
         pattern, mask = levels[level]
-        keep = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= NEAR
+        apart = (pattern[a] ^ pattern[b]) & mask[a] & mask[b]
+        keep = (np.bitwise_count(apart) <= NEAR) & (apart & must == 0)
+        if seen is not None:
+            seen["compared"] = seen.get("compared", 0) + len(a)
+            seen["pruned"] = seen.get("pruned", 0) + len(a) - int(keep.sum())
         a, b = a[keep], b[keep]
         below, fan = (len(levels[level - 1][0]), FAN) if level else (n, LEAF)
         step = max(1, block // (fan * fan))
+        grid = np.arange(fan)
         for at in range(0, len(a), step):
-            grid = np.arange(fan)
             left = (a[at : at + step, None, None] * fan + grid[None, :, None]).repeat(fan, 2).ravel()
             right = (b[at : at + step, None, None] * fan + grid[None, None, :]).repeat(fan, 1).ravel()
             real = (left < below) & (right < below) & ((left < right) | ((left == right) & (level > 0)))
@@ -116,15 +112,16 @@ def near_pairs(fps: np.ndarray, block: int = 1 << 16):
             if level:
                 todo.append((level - 1, left, right))
             else:
-                hit = differences(fps[left], fps[right]) <= NEAR
+                apart = fps[left] ^ fps[right]
+                hit = (np.bitwise_count(apart) <= NEAR) & (apart & must == 0)
                 if hit.any():
                     yield left[hit], right[hit]
 
 
-def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, agree: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A star round the first member of each linked set: (member, first), from all links of fps in Gray order."""
     label = np.arange(len(fps))
-    for i, j in near_pairs(fps):
+    for i, j in near_pairs(fps, agree):
         while True:
             a, b = label[i], label[j]
             apart = a != b
@@ -142,74 +139,108 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return far, label[far]
 
 
-def _group_links(batches):
-    """Rows of a partition, sorted by key: links of each run of equal keys; runs may go over batches."""
-    rest_key, rest_fp = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
-
-    def of(keys: np.ndarray, fps: np.ndarray):
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(fps)]])
-        size = ends - starts
-        order = np.lexsort((gray_rank(turned(fps, keys[:, 0] * 16)), np.repeat(np.arange(len(size)), size)))
-        fps = fps[order]
-        group = np.repeat(np.arange(len(size)), size)
-        small = size <= LEAF
-        a, b = [], []
-        inside = small[group]
-        for shift in range(1, int(size[small].max(initial=1))):
-            hit = np.flatnonzero(inside[:-shift] & (group[shift:] == group[:-shift]) & (differences(fps[:-shift], fps[shift:]) <= NEAR))
-            a.append(fps[hit])
-            b.append(fps[hit + shift])
-        for g in np.flatnonzero(~small):
-            own = fps[starts[g] : ends[g]]
-            far, near = forest(own)
-            a.append(own[far])
-            b.append(own[near])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+def bit_ranges(mask: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each run of set bits of a 64-bit mask, from the highest."""
+    out, at = [], 0
+    while at < 64:
+        n = 0
+        while at + n < 64 and mask >> (63 - at - n) & 1:
+            n += 1
+        if n:
+            out.append((at, n))
+        at += n + 1
+    return out
+
+
+def turned(fps: np.ndarray, mask: int) -> np.ndarray:
+    """Fingerprints with the bits of the mask before all others."""
+    out = np.zeros(len(fps), np.uint64)
+    for first, n in [*bit_ranges(mask), *bit_ranges(mask ^ ALL)]:
+        part = (fps >> np.uint64(64 - first - n)) & np.uint64((1 << n) - 1)
+        out = part if n == 64 else (out << np.uint64(n)) | part
+    return out
+
+
+def quarters(mask: int) -> list[int]:
+    """The mask with each quarter of the bits that it leaves free: two patterns within NEAR bits agree on one of them."""
+    free = [i for i in range(64) if not mask >> i & 1][::-1]
+    size = -(-len(free) // (NEAR + 1))
+    return [mask | sum(1 << i for i in free[at : at + size]) for at in range(0, len(free), size)] if free else []
+
+
+def _stretches(rows: np.ndarray, over: bool):
+    """Rows (mask, value, fp) sorted by mask and value, cut into stretches of one mask between values; last: what the next batch goes on with."""
+    while rows.shape[1]:
+        n = int(np.searchsorted(rows[0], rows[0, 0], side="right"))
+        if n > LARGE:
+            begins = np.flatnonzero(rows[1, 1:n] != rows[1, : n - 1]) + 1
+            fit = int(np.searchsorted(begins, LARGE, side="right"))
+            if len(begins):
+                n = int(begins[max(fit - 1, 0)])
+            elif n == rows.shape[1] and not over:
+                break
+        elif n == rows.shape[1] and not over:
+            break
+        yield rows[:, :n]
+        rows = rows[:, n:]
+    yield rows
+
+
+def _stretch_links(batches):
+    """Rows (mask, value, fp) of a partition sorted by mask and value: links found by the index of each stretch."""
+    held = np.zeros((3, 0), np.int64)
+
+    def of(rows: np.ndarray):
+        mask, fps = int(rows[0, 0]) & ALL, np.ascontiguousarray(rows[2]).view(np.uint64)
+        fps = fps[np.argsort(gray_rank(turned(fps, mask)), kind="stable")]
+        far, near = forest(fps, mask)
+        if len(far):
+            yield pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)) for x in (far, near)], names=["a", "b"])
 
     for batch in batches:
-        keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)], axis=1)
-        keys = np.concatenate([rest_key, keys])
-        fps = np.concatenate([rest_fp, np.asarray(batch.column(3)).astype(np.int64).view(np.uint64)])
-        if not len(fps):
-            continue
-        last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield from of(keys[:cut], fps[:cut])
-        rest_key, rest_fp = keys[cut:], fps[cut:]
-    if len(rest_fp):
-        yield from of(rest_key, rest_fp)
+        rows = np.concatenate([held, np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])], axis=1)
+        *whole, held = _stretches(rows, False)
+        for own in whole:
+            yield from of(own)
+    for own in [*_stretches(held, True)][:-1]:
+        yield from of(own)
 
 
-def _bits(fp, first: int, count: int):
-    """count bits of fp from bit first, counted from the highest."""
-    return F.shiftrightunsigned(fp, 64 - first - count).bitwiseAND(F.lit((1 << count) - 1))
+def _as_long(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _block_rank(fp, first: int, count: int):
+    """Gray rank of count bits of fp from bit first, counted from the highest."""
+    rank = F.shiftrightunsigned(fp, 64 - first - count).bitwiseAND(F.lit((1 << count) - 1))
+    for by in (1, 2, 4, 8):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, by))
+    return rank
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """a, b: links that hold together all distinct fingerprints (fp) within NEAR bits of each other.
-
-    Keys of a group: the block (0 to 3), its value, and for groups that were split the place and value of a part of the
-    48 other bits, cut in four: of these, too, one agrees in any pair that may link."""
-    blocks = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _bits(F.col("fp"), 16 * k, 16).alias("value")) for k in range(4)])).alias("k")).select("fp", "k.block", "k.value")
-    large = blocks.groupBy("block", "value").count().filter(F.col("count") > LARGE).select("block", "value")
-    large = staged(large, "large-blocks")
-    if large.isEmpty():
-        dealt = blocks.select(F.col("block").cast("long"), F.col("value").cast("long"), F.lit(-1).cast("long").alias("part"), "fp")
-    else:
-        light = blocks.join(large, ["block", "value"], "left_anti").select(F.col("block").cast("long"), F.col("value").cast("long"), F.lit(-1).cast("long").alias("part"), "fp")
-        heavy = blocks.join(large, ["block", "value"], "left_semi")
-        spun = F.when(F.col("block") == 0, F.col("fp"))
-        for k in (1, 2, 3):
-            spun = spun.when(F.col("block") == k, F.shiftleft("fp", 16 * k).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * k)))
-        heavy = heavy.withColumn("spun", spun)
-        parts = F.array(*[(_bits(F.col("spun"), 16 + 12 * k, 12) + F.lit(k << 12)) for k in range(4)])
-        heavy = heavy.select(F.col("block").cast("long"), F.col("value").cast("long"), F.explode(parts).cast("long").alias("part"), "fp")
-        dealt = light.union(heavy)
-    sorted_rows = dealt.repartition("block", "value", "part").sortWithinPartitions("block", "value", "part")
-    return sorted_rows.transform(mapped, _group_links, "a long, b long")
+    """a, b: links that hold together all distinct fingerprints (fp) within NEAR bits of each other."""
+    spark = distinct.sparkSession
+    masks = quarters(0)
+    blocks = F.array(*[F.struct(F.lit(_as_long(m)).alias("mask"), _block_rank(F.col("fp"), 16 * k, 16).alias("value")) for k, m in enumerate(masks)])
+    rows = distinct.select("fp", F.explode(blocks).alias("k")).select("k.mask", "k.value", "fp")
+    done = None
+    while True:
+        sizes = rows.groupBy("mask", "value").count().filter(F.col("count") > LARGE)
+        heavy = staged(sizes.select(F.col("mask").alias("m"), F.col("value").alias("v")), "large-blocks")
+        if heavy.isEmpty():
+            done = rows if done is None else done.union(rows)
+            break
+        same = (F.col("mask") == F.col("m")) & (F.col("value") == F.col("v"))
+        light = rows.join(heavy, same, "left_anti")
+        done = light if done is None else done.union(light)
+        # four rows for each mask of this round; the bits bound the rounds
+        finer = [(m, q) for m in masks for q in quarters(m)]
+        table = F.broadcast(spark.createDataFrame([(_as_long(m), _as_long(q)) for m, q in finer], "p long, q long"))
+        heavy_rows = rows.join(heavy, same, "left_semi").join(table, F.col("mask") == F.col("p"))
+        rows = staged(heavy_rows.select(F.col("q").alias("mask"), F.col("fp").bitwiseAND(F.col("q")).alias("value"), "fp").distinct(), "large-parts")
+        masks = sorted({q for _, q in finer})
+    return done.repartitionByRange("mask", "value").sortWithinPartitions("mask", "value").transform(mapped, _stretch_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -224,15 +255,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those whose near-duplicate with a smaller id stays; of rows with one id, one stays.
-
-    Decided by doc_id: rows with a null id are kept."""
-    named = docs.filter("doc_id IS NOT NULL")
-    later = near_duplicates(named).filter("component_id < doc_id").select(F.col("doc_id").alias("__later")).distinct()
-    repeated = named.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__later"))
-    later = staged(later, "later-copies")
-    doubtful, others = parted(named, F.col("doc_id"), later.union(repeated))
-    kept = doubtful.join(later.hint("merge"), doubtful["doc_id"] == F.col("__later"), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = kept.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
-    return first.union(others).union(docs.filter("doc_id IS NULL"))
+    """The documents without those of which a near copy (five-word shingles, Jaccard 0.8 or more) with a smaller id stays.
+
+    Candidates are linked fingerprints of five-word shingles and, since near copies of this similarity differ in some ten of
+    64 bits, equal min-hash keys, too; all are compared exactly (``nearcopies``)."""
+    return nearcopies.one_of_each(docs, links)

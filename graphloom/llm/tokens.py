@@ -7,17 +7,22 @@ once; a bounded table keeps their ids for the life of the Python worker."""
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from graphloom.llm.shared import between_tasks
+
 #: White space before a blank, or a control character on which regular expressions disagree: such texts are encoded whole.
 ODD = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |[\x{1c}-\x{1f}]"
-#: Longer pieces are rare and not worth a place in the table.
+#: Longer pieces are rare and stay in the table for one batch only.
 LONG = 200
+#: Bytes that a piece takes in the table besides its characters and ids (string, number, place in the dictionary, two numbers).
+ENTRY_BYTES = 180
+#: Bytes of the table of pieces of a worker; beyond, it starts anew with the next batch.
+TABLE_BYTES, SMALL_TABLE_BYTES = 150 << 20, 24 << 20
 
 
 def default_path(name: str) -> str:
@@ -35,17 +40,19 @@ class PieceEncoder:
         """Texts with the same ids and fewer different pieces."""
         return texts
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep = keep
+        self.table_bytes = table_bytes
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.entries = self.held = 0
+        self.long: list[str] = []
         self.starts = np.zeros(1024, np.int64)
         self.counts = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
@@ -55,7 +62,7 @@ class PieceEncoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
-        n, more = len(self.place), len(pieces)
+        n, more = self.entries, len(pieces)
         while n + more > len(self.starts):
             self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
         while self.used + len(ids) > len(self.flat):
@@ -64,6 +71,9 @@ class PieceEncoder:
         self.starts[n : n + more], self.counts[n : n + more] = starts + self.used, counts
         self.used += len(ids)
         self.place.update(zip(pieces, range(n, n + more), strict=True))
+        self.entries += more
+        self.held += ENTRY_BYTES * more + sum(map(len, pieces)) + 4 * len(ids)
+        self.long += [w for w in pieces if len(w) > LONG]
 
     def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = self.whole(pieces)
@@ -91,8 +101,11 @@ class PieceEncoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         odd = np.asarray(pc.match_substring_regex(texts, self.odd), dtype=bool) if len(texts) else np.zeros(0, bool)
-        if len(self.place) > self.keep:
+        if self.held > self.table_bytes:
             self.clear()
+        for w in self.long:
+            del self.place[w]
+        self.long = []
         even = pc.if_else(pa.array(odd), "", texts)
         split = pc.split_pattern(self.prepared(even), " ")
         offsets = np.asarray(split.offsets).astype(np.int64)
@@ -148,8 +161,8 @@ def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np
 class ByteEncoder(PieceEncoder):
     """For byte-level BPE: a joined group is cut by the number of bytes that each token stands for."""
 
-    def __init__(self, path: str, keep: int = 700_000):
-        super().__init__(path, keep)
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
+        super().__init__(path, table_bytes)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(vocab.values()) + 2, np.int64)
         for token, i in vocab.items():
@@ -176,8 +189,8 @@ class WordEncoder(PieceEncoder):
             texts = pc.replace_substring(texts, space, " ")
         return pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([,.]) ", r"\1 \2 ")
 
-    def __init__(self, path: str, keep: int = 1_500_000):
-        super().__init__(path, keep)
+    def __init__(self, path: str, table_bytes: int = 2 * TABLE_BYTES):
+        super().__init__(path, table_bytes)
         self.mark = self.whole([self.MARK])[0]
 
     def _apart(self, group: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +208,16 @@ class WordEncoder(PieceEncoder):
         return ids, starts, np.concatenate([ends, [len(ids)]]) - starts
 
 
-@lru_cache(maxsize=4)
-def encoder(kind: str, path: str) -> PieceEncoder:
-    """One for each worker and file, kept between tasks. kind: byte or word."""
-    return {"byte": ByteEncoder, "word": WordEncoder}[kind](path)
+_encoders: dict[tuple, PieceEncoder] = {}
+
+
+def encoder(kind: str, path: str, table_bytes: int | None = None) -> PieceEncoder:
+    """One for each worker, file and bound, kept until the worker gets a task of another kind. kind: byte or word."""
+    key = kind, path, table_bytes
+    if key not in _encoders:
+        made = {"byte": ByteEncoder, "word": WordEncoder}[kind]
+        _encoders[key] = made(path, table_bytes) if table_bytes else made(path)
+    return _encoders[key]
+
+
+between_tasks(_encoders.clear)

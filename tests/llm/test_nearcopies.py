@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from graphloom.llm import nearcopies
+from graphloom.llm import nearcopies, simhash
 
 
 def texts():
@@ -39,9 +39,18 @@ def test_no_two_near_copies_stay_and_none_goes_without_one(spark):
     assert (3, "another version of the row whose id is three") in got and (None, "without an id") in got
 
 
+def test_large_components_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "PART", 8)
+    words = [f"u{k}" for k in range(60)]
+    rows = [(k, " ".join([*words, f"end{k}"]), k, k) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_at int, gone_at int")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns and [r.doc_id for r in got.collect()] == [0]
+
+
 def test_one_changed_word_goes(spark):
     words = [f"u{k}" for k in range(100)]
     other = [*words[:50], "changed", *words[51:]]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()] == [1]
-    assert nearcopies.one_of_each(df.limit(0)).count() == 0
+    assert simhash.one_of_each(df.limit(0)).count() == 0

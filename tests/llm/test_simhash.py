@@ -59,15 +59,28 @@ def test_equals_brute_force(spark, monkeypatch):
     want = sorted((r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, comps, strict=True))
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == want
-    monkeypatch.setattr(simhash, "LARGE", 2)  # groups that are split find the same
+    monkeypatch.setattr(simhash, "LARGE", 2)  # groups that are split, again and again, find the same
     assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == want
-    kept = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
-    assert kept == sorted(r[0] for r, c in zip(rows, comps, strict=True) if r[0] == c)
+
+
+def test_index_of_real_fingerprints_prunes_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = np.unique(np.array([r.fp for r in simhash.fingerprints(docs).select("fp").collect()], np.int64)).view(np.uint64)
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    place = {int(f): i for i, f in enumerate(fps)}
+    found, seen = set(), {}
+    for mask in simhash.quarters(0):  # as in the query: the block comes first, pairs must agree on it
+        own = fps[np.argsort(simhash.gray_rank(simhash.turned(fps, mask)))]
+        assert len(simhash.index_levels(own)) >= 2
+        found |= {tuple(sorted((place[int(own[x])], place[int(own[y])]))) for i, j in simhash.near_pairs(own, mask, seen=seen) for x, y in zip(i, j, strict=True)}
+    assert seen["pruned"] > 0.5 * seen["compared"]
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    assert found == {(i, j) for i, j in np.argwhere(near).tolist() if i < j}
 
 
 def test_no_rows_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, None)], "doc_id long, text string")
-    assert simhash.near_duplicates(df).count() == 2 and simhash.one_of_each(df).count() == 2
+    assert simhash.near_duplicates(df).count() == 2
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 

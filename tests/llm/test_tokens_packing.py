@@ -23,10 +23,13 @@ def test_ids_equal_the_library(kind):
 
 
 def test_table_is_bounded():
-    e = tokens.ByteEncoder(tokens.default_path(FILES["byte"]), keep=10)
+    e = tokens.ByteEncoder(tokens.default_path(FILES["byte"]), table_bytes=2000)
     for k in range(5):
         e.ids(pa.array([f"w{k} x{k} y{k} z{k} a b c d"]))
     assert len(e.place) <= 30
+    e.ids(pa.array(["x" * 1000 + " y"]))
+    e.ids(pa.array(["y"]))
+    assert max(map(len, e.place)) < 1000  # a long piece stays for one batch
 
 
 DOCS = [(1, "one two three " * 300, "a"), (2, None, "a"), (3, "", None), (4, "x", "b"), (4, "x", "b"), (5, "hello, world! " * 900, "b"), (6, "end", None)]
@@ -78,15 +81,48 @@ def test_shares_are_exact_and_never_go_back():
 
 def test_round_robin_holds_proportions():
     rnd = random.Random(3)
-    queues = [[rnd.randint(1, 300) for _ in range(n)] for n in (600, 200, 100)]
+    queues = [[rnd.randint(1, n) for _ in range(n)] for n in (600, 200, 100, 1, 7)]
     total, amounts = sum(map(sum, queues)), [sum(q) for q in queues]
-    served, at = [0, 0, 0], 0
-    for j, _, _, take, _, _ in packing.fill(queues):
-        served[j] += take
-        at += take
-        if at < total * 0.9:
-            assert all(abs(s - at * a / total) < 1024 + 300 for s, a in zip(served, amounts, strict=True))
-    assert served == amounts
+    got = list(zip(*(c.tolist() for c in packing.fill([np.array(q) for q in queues], 1024)), strict=True))
+
+    def split(tokens, low, high):  # the same robin, one window after the other, by hand
+        if high - low == 1:
+            return [tokens]
+        half, both = 1, sum(amounts[low:high])
+        while half * 2 < high - low:
+            half *= 2
+        left = tokens * sum(amounts[low : low + half]) // both if both else 0
+        return split(left, low, low + half) + split(tokens - left, low + half, high)
+
+    starts = [sum(map(len, queues[:j])) for j in range(len(queues))]
+    want, head, inside, before = [], [0] * 5, [0] * 5, [0] * 5
+    for w in range(-(-total // 1024)):
+        offset, now = 0, split(min((w + 1) * 1024, total), 0, 5)
+        for j in range(5):
+            owed = now[j] - before[j]
+            assert abs(now[j] - min((w + 1) * 1024, total) * amounts[j] / total) <= 3  # of every window, to a token a level
+            while owed:
+                take = min(owed, queues[j][head[j]] - inside[j])
+                want.append((starts[j] + head[j], inside[j], take, w, offset))
+                owed, offset, inside[j] = owed - take, offset + take, inside[j] + take
+                if inside[j] == queues[j][head[j]]:
+                    head[j], inside[j] = head[j] + 1, 0
+        before = now
+    assert got == want
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 3, "b": 1}])
+def test_every_window_holds_the_targets(spark, weights):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(["the", "cat", "sat", "mat"]) for _ in range(rnd.randint(1, 400))), rnd.choice("aab")) for i in range(300)]
+    source = dict((r[0], r[2]) for r in rows)
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), weights=weights, group_windows=3).toPandas()
+    got["source"] = got.doc_id.map(source)
+    sums = got.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+    total = sums.sum()
+    share = total / total.sum() if weights is None else {"a": 0.75, "b": 0.25}
+    full = sums[(sums.cumsum()["a"] < total["a"]) & (sums.cumsum()["b"] < total["b"])]  # until a source is empty
+    assert len(full) > 5 and all((full[s] - 1024 * share[s]).abs().max() <= 4 for s in "ab")
 
 
 def test_rans_round_trip_and_checksum():
