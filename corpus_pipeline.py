@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, linededup, mixing, nearcopies, packing
+from graphloom.llm import langid, linededup, mixing, packing, simhash
 from graphloom.llm.shared import staged
+from graphloom.llm.tokens import SMALL_TABLE_BYTES
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a near copy (five-word shingles, Jaccard 0.8 or more) with a smaller id stays go."""
-    return nearcopies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows in the mix's proportions."""
-    found = packing.pack(docs)
+    found = packing.pack(docs, table_bytes=SMALL_TABLE_BYTES)
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
