@@ -1,18 +1,19 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are vectors of the table. A vector is represented by the order in which it sees its nearest pivots; an inverted
-file lists, for each pivot, the vectors that see it among their nearest and at which place. A query adds up, over the
-lists of its own nearest pivots, how far the places are apart: the footrule distance, a pivot that one side doesn't see
-counting as seen at the place after the last. The vectors of least footrule are then compared exactly, by cosine.
+Pivots are vectors of the table. A vector is represented by the order in which it sees its nearest pivots (``seen`` of them)
+and posted in the inverted files of the ``posted`` nearest. The files are a stored table: one row for each file and block of it,
+with ids, vectors and orders. A query asks the files of its nearest pivots, the ``ask`` share of all; in each, rows are ranked
+by the footrule distance of their order from the query's, a pivot that the query doesn't ask counting as seen at the place
+after the last, and the nearest half is compared exactly, by cosine. Only the best few of a block go on, so no pairs are
+written out. A file that very many rows or queries stand in is dealt as blocks of bounded size of either.
 
-Pivots: ``n_pivots`` rows that lie far apart, out of the ``sample`` rows of least hash (a bounded sample; everything else
-is indexed in full). Queries
-are taken in blocks of bounded size, each sent to all rows; rows are searched in blocks too, and each sends on only its
-best few for a query. No task sees more than a block of either.
+Pivots lie far apart, out of a bounded sample (the rows of least hash); everything else covers all rows. Blocks are by hash of
+the id, so the result doesn't depend on how rows are dealt. Equal vectors are one entry with the smallest ids that a query can
+need. Vectors are compared with those of their own length; a length is an index of its own.
 
 Nulls: null or zero vectors and vectors with null or non-finite parts are neither queries nor candidates, nor are rows
-without an id. Vectors of another length than the first pivot's are left out. Ties go to the smaller id; repeated rows
-count as often as they are there. An empty table gives no rows."""
+without an id. Very large and very small components are scaled by a power of two first. Ties go to the smaller id; repeated
+rows count as often as they are there. An empty table gives no rows. Further columns are not read, whatever their names."""
 
 from __future__ import annotations
 
@@ -23,41 +24,37 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.shared import mapped, staged
 
-PIVOTS, SEEN, SAMPLE = 96, 48, 1024
+#: A pivot for so many distinct vectors, and at most so many pivots; rows of the sample that they are chosen from.
+ROWS_A_PIVOT, PIVOTS, SAMPLE = 16, 512, 2048
+SEEN, POSTED = 12, 3
+#: Share of the pivots that a query asks, and the pivots that it asks in any case.
+ASK, ASK_LEAST = 0.25, 64
 #: Share of a block's rows, by footrule, that are compared exactly, and rows that are compared in any case.
-SHARE, AT_LEAST = 0.3, 64
-QUERY_BLOCK = 4096
+SHARE, AT_LEAST = 0.5, 32
+#: Rows and queries of a block.
+BLOCK, QUERY_BLOCK = 4096, 4096
 
 
 def usable(vectors: DataFrame, key: str, value: str) -> DataFrame:
     v = F.col(value)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(F.col(key).isNotNull() & v.isNotNull() & fine).select(F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+    return vectors.filter(F.col(key).isNotNull() & v.isNotNull() & fine).select(F.col(key).cast("long").alias("id"), F.transform(v.cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"))
 
 
-def matrix(batch: pa.RecordBatch, name: str, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of an Arrow batch, rows of another width left out."""
-    ids = np.asarray(batch.column(batch.schema.get_field_index("id")))
-    lists = batch.column(batch.schema.get_field_index(name))
-    lengths = np.asarray(lists.value_lengths())
-    width = width or (int(lengths[0]) if len(lengths) else 0)
-    keep = lengths == width
-    if not keep.all():
-        lists, ids = lists.filter(pa.array(keep)), ids[keep]
-    return ids, np.asarray(lists.flatten()).reshape(-1, width)
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that the largest component is between a half and one: exact, and no square overflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1])
 
 
 def unit(v: np.ndarray) -> np.ndarray:
-    scale = np.abs(v).max(axis=1, keepdims=True)
-    v = v / scale
+    v = scaled(v)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, seen: int) -> np.ndarray:
-    """The nearest pivots of each (unit) vector, nearest first."""
-    near = -(vectors @ pivots.T)
-    best = np.argpartition(near, min(seen, near.shape[1] - 1), axis=1)[:, :seen]
-    return np.take_along_axis(best, np.argsort(np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1)
+    """The nearest pivots of each (unit) vector, nearest first, equal ones in their own order."""
+    near = np.round(vectors @ pivots.T, 12)  # the same for a row in any batch
+    return np.argsort(-near, axis=1, kind="stable")[:, :seen]
 
 
 def spread_out(sample: np.ndarray, few: int) -> np.ndarray:
@@ -69,86 +66,113 @@ def spread_out(sample: np.ndarray, few: int) -> np.ndarray:
     return sample[chosen]
 
 
-class Block:
-    """Inverted files of one block of rows."""
-
-    def __init__(self, ids: np.ndarray, raw: np.ndarray, pivots: np.ndarray, seen: int):
-        # equal vectors are one entry with the list of its ids, so a large group of copies takes one candidate's place
-        raw = np.ascontiguousarray(raw + 0.0)
-        order = np.lexsort((ids, *raw.T[::-1])) if len(raw) else np.zeros(0, np.int64)
-        ids, raw = ids[order], raw[order]
-        new = np.concatenate([[True], (raw[1:] != raw[:-1]).any(axis=1)]) if len(raw) else np.zeros(0, bool)
-        self.copies = np.concatenate([np.flatnonzero(new), [len(raw)]])
-        first = np.argsort(ids[self.copies[:-1]], kind="stable")  # so that ties of distance go to the smaller id
-        self.all_ids, self.ids, raw = ids, ids[self.copies[:-1]][first], raw[self.copies[:-1]][first]
-        self.starts_at, self.ends_at = self.copies[:-1][first], self.copies[1:][first]
-        self.raw = raw
-        self.norms = np.sqrt((raw * raw).sum(axis=1))
-        seen_pivots = orders(unit(raw), pivots, seen)
-        self.seen = seen_pivots.shape[1]
-        row, place = np.divmod(np.arange(seen_pivots.size), self.seen)
-        by = np.argsort(seen_pivots.ravel(), kind="stable")
-        self.rows, self.places = row[by], place[by].astype(np.int16)
-        self.starts = np.searchsorted(seen_pivots.ravel()[by], np.arange(len(pivots) + 1))
-
-    def footrule(self, order: np.ndarray) -> np.ndarray:
-        """Distance of each row's order from this one."""
-        near = np.zeros(len(self.ids), np.int32)
-        for place, pivot in enumerate(order.tolist()):
-            a, b = self.starts[pivot], self.starts[pivot + 1]
-            # seen by both at p and q: instead of (seen - p) + (seen - q), the files say |p - q|
-            near[self.rows[a:b]] += 2 * (self.seen - np.maximum(self.places[a:b], place))
-        return self.seen * (self.seen + 1) - near
-
-    def best(self, query: np.ndarray, query_id: int, order: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        few = min(len(self.ids), max(AT_LEAST, int(np.ceil(share * len(self.ids)))))
-        far = self.footrule(order).astype(np.int64) * len(self.ids) + np.arange(len(self.ids))
-        found = np.argpartition(far, few - 1)[:few] if few < len(far) else np.arange(len(far))
+def footrule(wanted: np.ndarray, order: np.ndarray, n_pivots: int) -> np.ndarray:
+    """Distance of each row's order from each query's: over the pivots that the row sees, the sum of the differences of places."""
+    place = np.full((len(wanted), n_pivots), wanted.shape[1], np.int16)
+    np.put_along_axis(place, wanted, np.arange(wanted.shape[1], dtype=np.int16)[None, :], 1)
+    out = np.zeros((len(wanted), len(order)), np.int32)
+    for j in range(order.shape[1]):
+        out += np.abs(place[:, order[:, j]] - np.int16(j))
+    return out
+
+
+def best(queries: np.ndarray, query_ids: np.ndarray, wanted: np.ndarray, raw: np.ndarray, ids: list[list[int]], order: np.ndarray, n_pivots: int, k: int, share: float) -> tuple[list[int], list[int], list[float]]:
+    """Query, row id, cosine: the best of one block for each query."""
+    few = min(len(raw), max(AT_LEAST, int(np.ceil(share * len(raw)))))
+    far = footrule(wanted, order, n_pivots).astype(np.int64) * len(raw) + np.arange(len(raw))  # ties: the smaller id first
+    norms = np.sqrt((raw * raw).sum(axis=1))
+    out: tuple[list[int], list[int], list[float]] = ([], [], [])
+    for q, query_id, f in zip(queries, query_ids.tolist(), far, strict=True):
+        found = np.argpartition(f, few - 1)[:few] if few < len(f) else np.arange(len(f))
         # summed row by row: equal vectors get equal scores wherever they stand
-        cos = (self.raw[found] * query).sum(axis=1) / (self.norms[found] * np.sqrt((query * query).sum()))
+        cos = (raw[found] * q).sum(axis=1) / (norms[found] * np.sqrt((q * q).sum()))
         if len(cos) > k + 1:
             edge = np.partition(cos, len(cos) - k - 1)[len(cos) - k - 1]
             found, cos = found[cos >= edge], cos[cos >= edge]
-        pairs = [(-c, i) for c, f in zip(cos.tolist(), found.tolist(), strict=True) for i in self.all_ids[self.starts_at[f] : min(self.ends_at[f], self.starts_at[f] + k + 1)].tolist() if i != query_id]
-        pairs.sort()
-        return np.array([i for _, i in pairs[:k]], np.int64), np.array([-c for c, _ in pairs[:k]], np.float64)
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", value: str = "embedding", n_pivots: int = PIVOTS, seen: int = SEEN, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+        pairs = sorted((-c, i) for c, r in zip(cos.tolist(), found.tolist(), strict=True) for i in ids[r] if i != query_id)[:k]
+        out[0].extend([query_id] * len(pairs))
+        out[1].extend(i for _, i in pairs)
+        out[2].extend(-c for c, _ in pairs)
+    return out
+
+
+def _ordered(pivots: np.ndarray, seen: int, name: str):
+    """Batches of rows with a vector v: with its order as a further column."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = np.asarray(batch.column(batch.schema.get_field_index("v")).flatten()).reshape(batch.num_rows, -1)
+                order = orders(unit(v), pivots, seen).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32)), pa.array(order.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+
+    return run
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int, n_pivots: int, seen: int, posted: int, ask: float, share: float, sample: int) -> DataFrame:
+    """rows: ids (the smallest of equal vectors), v; asked: id, v; all of one length. query_id, vec_id, score, with repeats."""
+    spark = rows.sparkSession
+    n = rows.count()
+    chosen = rows.orderBy(F.xxhash64(F.col("ids")[0], F.lit("pivot")), F.col("ids")[0]).limit(sample).collect()  # bounded by the parameter
+    pivots = spread_out(unit(np.array([r.v for r in chosen])), min(n_pivots, max(1, -(-n // ROWS_A_PIVOT), ASK_LEAST)))
+    see, post = min(seen, len(pivots)), min(posted, len(pivots))
+    asks = min(len(pivots), max(ASK_LEAST, int(np.ceil(ask * len(pivots)))))
+
+    # the stored inverted files
+    shown = staged(rows.transform(mapped, _ordered(pivots, see, "near"), "ids array<long>, v array<double>, near array<int>"), "vector-orders")
+    posts = shown.select(F.explode(F.slice("near", 1, post)).alias("pivot"), "ids", "v", "near")
+    sizes = staged(posts.groupBy("pivot").count(), "file-sizes")  # a row for each pivot
+    wishes = staged(asked.transform(mapped, _ordered(pivots, asks, "near"), "id long, v array<double>, near array<int>"), "query-orders")
+    want = wishes.select(F.explode("near").alias("pivot"), "id", "v", "near")
+    loads = want.groupBy("pivot").count()
+    dealt = sizes.select(F.col("pivot").alias("p"), F.ceil(F.col("count") / BLOCK).alias("blocks")).join(loads.select(F.col("pivot").alias("l"), F.ceil(F.col("count") / QUERY_BLOCK).alias("parts")), F.col("p") == F.col("l"))
+    dealt = F.broadcast(staged(dealt.select("p", "blocks", "parts"), "file-blocks"))  # at most n_pivots rows
+    here = F.col("pivot") == F.col("p")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    files = posts.join(dealt, here).withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0], F.lit("block")), F.col("blocks")))
+    files = staged(files.groupBy("pivot", "block", "parts").agg(F.sort_array(F.collect_list(F.struct("ids", "v", "near"))).alias("rows")), "inverted-files")  # BLOCK rows or so each
+    left = files.select("pivot", "block", every("parts").alias("part"), F.lit(None).cast("long").alias("id"), "rows", F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("array<int>").alias("near"))
+    right = want.join(dealt, here).select("pivot", every("blocks").alias("block"), F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).alias("part"), "id", F.lit(None).cast(files.schema["rows"].dataType).alias("rows"), "v", "near")
+    met = left.union(right).repartition("pivot", "block", "part").sortWithinPartitions("pivot", "block", "part", F.col("id").asc_nulls_first())
+
+    def run(batches):
+        key, raw, ids, order = None, None, [], None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
+            heads = np.asarray(batch.column(3).is_null())
+            cuts = sorted({0, *np.flatnonzero(heads).tolist(), *(np.flatnonzero(heads) + 1).tolist(), batch.num_rows})
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if heads[a]:
+                    own = batch.column(4)[a].values
+                    lists = [own.field(x) for x in ("ids", "v", "near")]
+                    key, ids = keys[:, a], lists[0].to_pylist()
+                    raw = scaled(np.array(lists[1].to_pylist()))
+                    order = np.array(lists[2].to_pylist())
+                elif key is not None and (keys[:, a] == key).all():  # sorted: all queries of the file follow it
+                    n = b - a
+                    part = batch.slice(a, n)
+                    q = scaled(np.asarray(part.column(5).flatten()).reshape(n, -1))
+                    wanted = np.asarray(part.column(6).flatten()).reshape(n, -1)
+                    found = best(q, np.asarray(part.column(3)), wanted, raw, ids, order, len(pivots), k, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return met.transform(mapped, run, "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", value: str = "embedding", n_pivots: int = PIVOTS, seen: int = SEEN, posted: int = POSTED, ask: float = ASK, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, its own id left out."""
-    rows, asked = staged(usable(vectors, key, value), "vectors"), usable(queries, key, value)
-    chosen = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(sample).collect()
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not chosen:
-        return empty
-    width = len(chosen[0].v)
-    pivots = spread_out(unit(np.array([r.v for r in chosen if len(r.v) == width])), n_pivots)
-    see = min(seen, len(pivots))
-    asked = staged(asked.filter(F.size("v") == width), "queries")
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    part = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks))
-    found = None
-    for b in range(blocks):
-        block = asked.filter(part == b).collect()  # QUERY_BLOCK rows or so
-        if not block:
-            continue
-        sent = spark.sparkContext.broadcast((np.array([r.id for r in block]), np.array([r.v for r in block])))
-
-        def run(batches, sent=sent):
-            ids, q = sent.value
-            wanted = orders(unit(q), pivots, see)
-            for batch in batches:
-                own = Block(*matrix(batch, "v", width), pivots, see)
-                if not len(own.ids):
-                    continue
-                hits = [own.best(v, i, o, k, share) for v, i, o in zip(q, ids.tolist(), wanted, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(h[0]) for h in hits])), pa.array(np.concatenate([h[0] for h in hits])), pa.array(np.concatenate([h[1] for h in hits]))], names=["query_id", "vec_id", "score"])
-
-        part_found = rows.transform(mapped, run, "query_id long, vec_id long, score double")
-        found = part_found if found is None else found.union(part_found)
-    if found is None:
-        return empty
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if k >= ASK_LEAST:
+        raise ValueError(f"k must be below {ASK_LEAST}")
+    rows, asked = usable(vectors, key, value), staged(usable(queries, key, value), "queries")
+    # equal vectors are one entry with the k + 1 smallest of its ids
+    nth = Window.partitionBy("v").orderBy("id")
+    rows = rows.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= k + 1)
+    rows = staged(rows.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", "v"), "vectors")
+    lengths = sorted(r.n for r in rows.select(F.size("v").alias("n")).distinct().collect())  # a row for each length of vectors
+    found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for n in lengths:
+        found = found.union(_search(rows.filter(F.size("v") == n), asked.filter(F.size("v") == n), k, n_pivots, seen, posted, ask, share, sample))
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(nearest))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
