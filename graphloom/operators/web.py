@@ -1,5 +1,8 @@
 """Pages as facts: tags, links, classes, outlines, styles and selector matching on regular-expression-defined subsets, and a
-parsed tree with structural signatures and three-valued selector results for what expressions can't say."""
+parsed tree with structural signatures and selector results with a status for what expressions can't say.
+
+What needs a whole page's tree runs in one task a page: parsing, signatures, selectors. Pages are taken in parts of bounded
+bytes; a tree given as rows is dealt by page and read page by page."""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NO, UNKNOWN, COND, EXACT = 0, 1, 2, 3
+from graphloom.operators.matcher import COND, EXACT, NO, UNKNOWN, Page, chain, selector_list  # noqa: F401
 
 
 def tags(pages: DataFrame) -> DataFrame:
@@ -101,259 +104,90 @@ def parse(page: str) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
+#: Bytes of pages that are parsed together.
+PART = 4 << 20
+
+
+def _parts(batches, name: str):
+    """Batches cut so that the texts of a part hold about PART bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0)).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + PART, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _batch(rows: list[tuple], schema: T.StructType):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = to_arrow_schema(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array([list(x.items()) if isinstance(x, dict) else x for x in c], f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+
 def elements(pages: DataFrame) -> DataFrame:
     """One row per element of each page's parsed tree."""
 
-    def run(frames):
-        import pandas as pd
+    def run(batches):
+        for part in _parts(batches, "html"):
+            yield _batch([(p, *row) for p, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for row in parse(html)], ELEMENT)
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, ELEMENT)
+
+
+def by_page(tree: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """run(page_id, rows of the page in order) for each page of a tree; a page is one task's work, with its own memory alone."""
+    names = [f.name for f in ELEMENT.fields]
 
-        for frame in frames:
-            yield pd.DataFrame([(p, *row) for p, html in zip(frame["page_id"], frame["html"], strict=True) for row in parse(html)], columns=ELEMENT.names)
+    def whole(batches):
+        held, page = [], None
+        for batch in batches:
+            out = []
+            columns = [batch.column(i).to_pylist() for i in range(len(names))]
+            columns[8] = [dict(x or ()) for x in columns[8]]
+            for own, *row in zip(*columns, strict=True):
+                if own != page:
+                    if held:
+                        out += run(page, held)
+                    held, page = [], own
+                held.append(tuple(row))
+            if out:
+                yield _batch(out, schema)
+        if held and (out := list(run(page, held))):
+            yield _batch(out, schema)
 
-    return pages.select("page_id", "html").mapInPandas(run, ELEMENT)
+    dealt = tree.select(*names).repartition("page_id").sortWithinPartitions("page_id", "element")
+    return dealt.mapInArrow(whole, schema)
 
 
 def signatures(tree: DataFrame, exact: bool = False) -> DataFrame:
-    """page_id, element, signature: of an element's tag (and with exact its classes and text) and its children's, bottom-up by depth."""
-    from graphloom.operators.staging import cut
-
-    own = F.concat_ws("|", "tag", F.concat_ws(" ", F.sort_array("classes")), F.trim("text")) if exact else F.col("tag")
-    base = cut(tree.select("page_id", "element", "parent", "depth", "position", own.alias("own")))
-    deepest = base.agg(F.max("depth")).first()[0]
-    done, below = None, None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        level = base.filter(F.col("depth") == depth)
-        if below is not None:
-            kids = below.groupBy("page_id", F.col("parent").alias("element")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "signature"))), lambda x: x["signature"]), ",").alias("kids"))
-            level = level.join(kids, ["page_id", "element"], "left")
-        else:
-            level = level.withColumn("kids", F.lit(None).cast("string"))
-        below = cut(level.select("page_id", "element", "parent", "position", F.md5(F.concat_ws("(", "own", F.coalesce("kids", F.lit("")))).alias("signature")))
-        done = below if done is None else done.union(below)
-    return done.select("page_id", "element", "signature") if done is not None else base.select("page_id", "element", F.lit("").alias("signature"))
-
-
-STATES = {"hover", "focus", "active", "visited", "checked", "disabled", "enabled", "target", "focus-within", "focus-visible", "valid", "invalid"}
-CHOICES = {"is", "where", "matches", "-webkit-any"}
-
-
-def pieces(text: str, cuts: str) -> list[str]:
-    """text cut at these characters, which stay as pieces of their own, but not inside brackets, parentheses or quotes."""
-    out, held, deep, quote = [], "", 0, ""
-    for c in text:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c in "([":
-            deep += 1
-        elif c in ")]":
-            deep -= 1
-        elif c in cuts and not deep:
-            out += [held, c]
-            held = ""
-            continue
-        held += c
-    return [p for p in [*out, held] if p]
-
-
-def selector_list(text: str) -> list[str]:
-    return [p.strip() for p in pieces(text, ",") if p != "," and p.strip()]
-
-
-def chain(selector: str) -> list[tuple[str, str]]:
-    """(combinator before it, compound) from left to right; the first has none."""
-    out, joint = [], ""
-    for p in pieces(selector.strip(), " \t\n>+~"):
-        if p.isspace():
-            joint = joint or " "
-        elif p in ">+~":
-            joint = p
-        else:
-            out.append((joint if out else "", p))
-            joint = ""
-    return out
-
-
-def simple_parts(compound: str) -> list[str]:
-    """A compound's parts: a type or *, then #id, .class, [attribute], :state, :function(…)."""
-    out, held = [], ""
-    for p in pieces(compound, "#.:"):
-        if p in "#." or p == ":":
-            if p == ":" and held == ":":
-                held = "::"
-                continue
-            if held.strip(":"):
-                out.append(held)
-            held = p
-        else:
-            held += p
-    out += [held] if held else []
-    return [x for p in out for x in _attributes(p)]
-
-
-def _attributes(part: str) -> list[str]:
-    at = part.find("[")
-    if at < 0 or "(" in part[:at]:
-        return [part]
-    found, rest = [part[:at]] if at else [], part[at:]
-    while rest.startswith("["):
-        end = rest.index("]") + 1 if "]" in rest else len(rest)
-        found.append(rest[:end])
-        rest = rest[end:]
-    return found + ([rest] if rest else [])
-
-
-def _attribute(part: str) -> Column:
-    """Status of an attribute test: [a], [a=v], ~= |= ^= $= *=, with i for any case."""
-    import re
-
-    found = re.fullmatch(r"\[\s*([\w:-]+)\s*(?:([~|^$*]?=)\s*(\"[^\"]*\"|'[^']*'|[^\"'\]\s]*)\s*([iIsS])?)?\s*\]", part)
-    if not found:
-        return F.lit(UNKNOWN)
-    name, operator, value, flag = found.groups()
-    held, value = F.col("attributes")[name.lower()], (value or "").strip("\"'")
-    if flag and flag in "iI":
-        held, value = F.lower(held), value.lower()
-    never = F.lit(False)
-    test = {None: held.isNotNull(), "=": held == value, "~=": F.array_contains(F.split(held, r"\s+"), value) if value and " " not in value else never, "|=": (held == value) | held.startswith(f"{value}-"), "^=": held.startswith(value) if value else never, "$=": held.endswith(value) if value else never, "*=": held.contains(value) if value else never}[operator]
-    return F.when(F.coalesce(test, never), F.lit(EXACT)).otherwise(F.lit(NO))
-
-
-def _compound(tree: DataFrame, text: str) -> Column:
-    """Status of each element against one compound selector. and: the least, or: the greatest, :not turns sure and impossible."""
-    sure = lambda c: F.when(c, F.lit(EXACT)).otherwise(F.lit(NO))
-    status = F.lit(EXACT)
-    for part in simple_parts(text):
-        if part == "*":
-            continue
-        if part[0] == "#":
-            own = sure(F.coalesce(F.col("id") == part[1:], F.lit(False)))
-        elif part[0] == ".":
-            own = sure(F.array_contains("classes", part[1:]))
-        elif part[0] == "[":
-            own = _attribute(part)
-        elif part[0] != ":":
-            own = sure(F.col("tag") == part.lower()) if part.replace("-", "").isalnum() else F.lit(UNKNOWN)
-        elif part.startswith("::"):
-            continue
-        else:
-            own = _state(tree, part[1:])
-        status = F.least(status, own)
-    return status
-
-
-def _state(tree: DataFrame, part: str) -> Column:
-    sure = lambda c: F.when(c, F.lit(EXACT)).otherwise(F.lit(NO))
-    name, _, inner = part.partition("(")
-    inner = inner[:-1] if inner.endswith(")") else inner
-    if name in STATES:
-        return F.lit(COND)
-    if name == "first-child":
-        return sure(F.col("position") == 0)
-    if name in ("root", "scope"):
-        return sure(F.col("parent") == -1)
-    if name == "nth-child" and " of " not in inner:
-        return sure(nth(inner, F.col("position") + 1))
-    if name in ("last-child", "only-child", "nth-last-child", "first-of-type", "last-of-type", "only-of-type", "nth-of-type", "nth-last-of-type", "empty") and "siblings" in tree.columns:
-        back, typed, typed_back = F.col("siblings") - F.col("position"), F.col("of_type"), F.col("types") - F.col("of_type") + 1
-        tests = {"last-child": back == 1, "only-child": F.col("siblings") == 1, "first-of-type": typed == 1, "last-of-type": typed_back == 1, "only-of-type": F.col("types") == 1, "empty": F.col("bare")}
-        counted = {"nth-last-child": back, "nth-of-type": typed, "nth-last-of-type": typed_back}
-        return sure(tests[name] if name in tests else nth(inner, counted[name]))
-    if name in CHOICES or name == "not":
-        each = selector_list(inner)
-        if not each or any(len(chain(x)) > 1 for x in each):
-            return F.lit(UNKNOWN)
-        any_of = [_compound(tree, x) for x in each]
-        best = F.greatest(*any_of) if len(any_of) > 1 else any_of[0]
-        return best if name != "not" else F.when(best == EXACT, NO).when(best == NO, EXACT).otherwise(best)
-    if name == "-has":
-        return F.coalesce(F.col(f"has_{inner}"), F.lit(NO))
-    return F.lit(UNKNOWN)
-
-
-def with_places(tree: DataFrame) -> DataFrame:
-    """tree with what the structural states ask: siblings, place among those of one type, how many these are, and no content."""
-    from pyspark.sql import Window
-
-    family = Window.partitionBy("page_id", "parent")
-    kind = Window.partitionBy("page_id", "parent", "tag")
-    kids = tree.select("page_id", F.col("parent").alias("element"), F.lit(True).alias("has_kids")).distinct()
-    placed = tree.withColumn("siblings", F.count("*").over(family)).withColumn("types", F.count("*").over(kind)).withColumn("of_type", F.row_number().over(kind.orderBy("position")))
-    return placed.join(kids, ["page_id", "element"], "left").withColumn("bare", F.col("has_kids").isNull() & (F.coalesce(F.col("text"), F.lit("")) == "")).drop("has_kids")
-
-
-def nth(formula: str, position: Column) -> Column:
-    """An+B, odd, even."""
-    import re
-
-    text = {"odd": "2n+1", "even": "2n"}.get(formula.strip().lower(), formula.replace(" ", ""))
-    found = re.fullmatch(r"([+-]?\d*)n([+-]\d+)?|([+-]?\d+)", text)
-    if not found:
-        return F.lit(False)
-    if found[3]:
-        return position == int(found[3])
-    a, b = int(found[1] + "1" if found[1] in ("", "+", "-") else found[1]), int(found[2] or 0)
-    return position == b if a == 0 else ((position - b) % a == 0) & ((position - b) / a >= 0)
-
-
-PLACES = ("last-", "only-", "-of-type", ":empty")
-
-
-def _has(base: DataFrame, selector: str) -> tuple[DataFrame, str]:
-    """base with a column for each :has(…), and the selector with its number instead: the best status of what stands below an element."""
-    from graphloom.operators.fixpoint import fixpoint
-
-    k = 0
-    while (at := selector.find(":has(")) >= 0:
-        deep, end = 1, at + 5
-        while end < len(selector) and deep:
-            deep += {"(": 1, ")": -1}.get(selector[end], 0)
-            end += 1
-        inner, up = selector[at + 5 : end - 1].strip(), base.select("page_id", F.col("element").alias("at"), F.col("parent").alias("above"))
-        child = inner.startswith(">")
-        met = None
-        for one in selector_list(inner.lstrip("> ")):
-            part = select(base, one)
-            met = part if met is None else met.union(part)
-        first = met.select("page_id", F.col("element").alias("at"), "status").join(up, ["page_id", "at"]).select("page_id", F.col("above").alias("at"), "status")
-        over = first if child else fixpoint(first, lambda fresh, up=up: fresh.join(up, ["page_id", "at"]).select("page_id", F.col("above").alias("at"), "status"))
-        best = over.groupBy("page_id", F.col("at").alias("element")).agg(F.max("status").alias(f"has_{k}"))
-        base = base.join(best, ["page_id", "element"], "left")
-        selector = f"{selector[:at]}:-has({k}){selector[end:]}"
-        k += 1
-    return base, selector
+    """page_id, element, signature: of an element's tag (and with exact its classes and text) and its children's."""
+    schema = T.StructType([*ELEMENT.fields[:2], T.StructField("signature", T.StringType())])
+    return by_page(tree, lambda page, rows: [(page, e, s) for e, s in Page(rows).signatures(exact).items()], schema)
+
+
+def selected(tree: DataFrame, selectors: list[str], quirks: bool = False) -> DataFrame:
+    """page_id, selector, element, status of the elements that each selector list may match; all of them in one pass over the tree."""
+    schema = T.StructType([ELEMENT.fields[0], T.StructField("selector", T.StringType()), ELEMENT.fields[1], T.StructField("status", T.IntegerType())])
+
+    def run(page, rows):
+        tree_ = Page(rows, quirks)
+        return [(page, s, e, status) for s in selectors for e, status in tree_.select(s).items()]
+
+    return by_page(tree, run, schema)
 
 
 def select_list(tree: DataFrame, selectors: str) -> DataFrame:
-    """As select, for a list with commas: an element's best status."""
-    found = None
-    for one in selector_list(selectors):
-        part = select(tree, one)
-        found = part if found is None else found.union(part)
-    return found.groupBy("page_id", "element").agg(F.max("status").alias("status"))
+    """page_id, element, status: an element's best status over the list."""
+    return selected(tree, [selectors]).select("page_id", "element", "status")
 
 
 def select(tree: DataFrame, selector: str) -> DataFrame:
-    """page_id, element, status of the elements that a selector may match, compounds from left to right joined over the tree."""
-    from graphloom.operators.fixpoint import fixpoint
-
-    if any(p in selector for p in PLACES) and "siblings" not in tree.columns:
-        tree = with_places(tree)
-    base, selector = _has(tree, selector)
-    parts = chain(selector)
-    found = base.withColumn("status", _compound(base, parts[0][1])).filter(F.col("status") > NO).select("page_id", "element", "parent", "position", "status")
-    for joint, compound in parts[1:]:
-        right = base.withColumn("own", _compound(base, compound)).filter(F.col("own") > NO).select("page_id", "element", "parent", "position", "own")
-        left = found.select("page_id", F.col("element").alias("l"), F.col("parent").alias("lp"), F.col("position").alias("lx"), "status")
-        if joint == " ":
-            up = base.select("page_id", "element", "parent")
-            over = fixpoint(right.select("page_id", "element", F.col("parent").alias("l")), lambda x, up=up: x.join(up.select("page_id", F.col("element").alias("l"), F.col("parent").alias("above")), ["page_id", "l"]).select("page_id", "element", F.col("above").alias("l")))
-            met = right.join(over, ["page_id", "element"]).join(left.select("page_id", "l", "status"), ["page_id", "l"])
-        elif joint == ">":
-            met = right.join(left.withColumnRenamed("l", "parent").select("page_id", "parent", "status"), ["page_id", "parent"])
-        else:
-            near = right.join(left.withColumnRenamed("lp", "parent").select("page_id", "parent", "lx", "status"), ["page_id", "parent"])
-            met = near.filter((F.col("position") == F.col("lx") + 1) if joint == "+" else (F.col("position") > F.col("lx")))
-        found = met.groupBy("page_id", "element", "parent", "position").agg(F.max(F.least("status", "own")).alias("status"))
-    return found.select("page_id", "element", "status")
+    """page_id, element, status of the elements that a selector may match."""
+    return select_list(tree, selector)

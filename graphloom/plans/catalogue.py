@@ -90,14 +90,12 @@ def style_declarations(spark, d):
 
 
 @query(f"""WITH {STYLE_SQL}, used AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
-SELECT s.page_id, s.selector FROM (SELECT DISTINCT page_id, selector FROM style) s ANTI JOIN used u ON u.page_id = s.page_id AND u.tag = s.selector
-UNION ALL SELECT -1, 'none' """)
+SELECT s.page_id, s.selector FROM (SELECT DISTINCT page_id, selector FROM style) s ANTI JOIN used u ON u.page_id = s.page_id AND u.tag = s.selector""")
 def unused_tag_selectors(spark, d):
-    """Selectors by tag without an element on their page; a row (-1, none) closes the list."""
+    """Selectors by tag without an element on their page."""
     pages = table(spark, d, "pages")
     rules = web.style_rules(pages).select("page_id", "selector").distinct()
-    unused = relalg.anti(rules, web.tags(pages).withColumnRenamed("tag", "selector").distinct(), ["page_id", "selector"]).select("page_id", "selector")
-    return unused.union(spark.createDataFrame([(-1, "none")], unused.schema))
+    return relalg.anti(rules, web.tags(pages).withColumnRenamed("tag", "selector").distinct(), ["page_id", "selector"]).select("page_id", "selector")
 
 
 @query("""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-zA-Z]+://', ''), '[?#].*$', '') AS u FROM pages), p AS (SELECT page_id, string_split(u, '/') AS parts FROM h)
@@ -107,25 +105,43 @@ def url_path_ancestors(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(fn.prefixes(plain, "/")).alias("ancestor")).groupBy("ancestor").agg(F.countDistinct("page_id").alias("pages"))
 
 
-@query()
-def web_component_signatures(spark, d):
-    """Repeated subtrees of the parsed pages, by structural signature. A parsed tree is beyond SQL."""
-    tree = web.elements(table(spark, d, "pages"))
-    return web.signatures(tree).groupBy("signature").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages")).filter("n > 1")
+# trees given as tables: a region's page has a part for each nation and, in it, a paragraph for each customer
+
+
+TREE_SQL = """n AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nth, count(*) OVER (PARTITION BY n_regionkey) AS family FROM nation),
+c AS (SELECT c_custkey, c_mktsegment, c_nationkey, n_regionkey, row_number() OVER w AS nth, count(*) OVER (PARTITION BY c_nationkey) AS family, lag(c_mktsegment) OVER w AS before FROM customer JOIN nation ON n_nationkey = c_nationkey WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))"""
+
 
+def _tree(spark, d):
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    none = lambda t: F.lit(None).cast(t)
+    attributes, classes = F.create_map().cast("map<string,string>"), lambda *c: F.array(*c).cast("array<string>")
+    row = lambda page, element, parent, depth, position, tag, own, cls, text: [page.cast("long").alias("page_id"), element.cast("int").alias("element"), parent.cast("int").alias("parent"), F.lit(depth).alias("depth"), position.cast("int").alias("position"), F.lit(tag).alias("tag"), own.alias("id"), cls.alias("classes"), attributes.alias("attributes"), text.alias("text")]
+    roots = table(spark, d, "region").select(*row(F.col("r_regionkey"), F.lit(0), F.lit(-1), 0, F.lit(0), "html", none("string"), classes(), F.lit("")))
+    at = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    parts = nation.select(*row(F.col("n_regionkey"), F.col("n_nationkey") + 1, F.lit(0), 1, at - 1, "div", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), classes(F.lit("nation")), F.lit("")))
+    placed = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    nth = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    paragraphs = placed.select(*row(F.col("n_regionkey"), F.col("c_custkey") + 100, F.col("c_nationkey") + 1, 2, nth - 1, "p", F.concat(F.lit("c"), F.col("c_custkey").cast("string")), classes(F.col("c_mktsegment"), F.lit("customer")), F.col("c_name")))
+    return roots.union(parts).union(paragraphs)
 
-@query()
+
+@query(f"""WITH {TREE_SQL} SELECT 'div > p.BUILDING' AS selector, 3 AS status, count(*) AS n FROM c WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'p.BUILDING + p', 3, count(*) FROM c WHERE before = 'BUILDING' UNION ALL SELECT 'div:has(> p.BUILDING)', 3, count(DISTINCT c_nationkey) FROM c WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'html p:nth-child(3n+1)', 3, count(*) FROM c WHERE (nth - 1) % 3 = 0 UNION ALL SELECT 'p:not(.BUILDING):last-child', 3, count(*) FROM c WHERE nth = family AND c_mktsegment <> 'BUILDING'
+UNION ALL SELECT 'div:first-child p:hover, div:nth-last-child(1)', 2, count(*) FROM c WHERE c_nationkey IN (SELECT n_nationkey FROM n WHERE nth = 1) UNION ALL SELECT 'div:first-child p:hover, div:nth-last-child(1)', 3, count(*) FROM n WHERE nth = family""")
 def web_selector_status(spark, d):
-    """Elements that selectors match for sure, under a condition, or perhaps."""
-    from graphloom.operators.staging import cut
+    """Elements that selectors match for sure, or under a condition."""
+    wanted = ["div > p.BUILDING", "p.BUILDING + p", "div:has(> p.BUILDING)", "html p:nth-child(3n+1)", "p:not(.BUILDING):last-child", "div:first-child p:hover, div:nth-last-child(1)"]
+    return web.selected(_tree(spark, d), wanted).groupBy("selector", "status").agg(F.count("*").alias("n"))
 
-    tree = cut(web.elements(table(spark, d, "pages")))
-    wanted = ("div.ad", "nav > ul > li:first-child", "article p", "h1 + p", "ul li a[href^='/']", "a:hover", "p:has(b)")
-    parts = [web.select(tree, s).groupBy("status").agg(F.count("*").alias("n")).select(F.lit(s).alias("selector"), "status", "n") for s in wanted]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+
+@query(f"""WITH {TREE_SQL}, s AS (SELECT md5('p(') AS leaf), d AS (SELECT c_nationkey, md5('div(' || array_to_string(list_transform(range(0, count(*)), lambda x: leaf), ',')) AS signature FROM c, s GROUP BY c_nationkey, leaf)
+SELECT signature, count(*) AS n, count(DISTINCT page) AS pages FROM (SELECT leaf AS signature, n_regionkey AS page FROM c, s UNION ALL SELECT coalesce(signature, md5('div(')), n_regionkey FROM n LEFT JOIN d ON c_nationkey = n_nationkey) GROUP BY signature HAVING count(*) > 1""")
+def web_component_signatures(spark, d):
+    """Repeated subtrees, by structural signature."""
+    repeated = web.signatures(_tree(spark, d)).groupBy("signature").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
+    return repeated.filter("n > 1")
 
 
 # relational algebra
@@ -213,9 +229,9 @@ def turn_precedence_rank(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", (F.row_number().over(order) - 1).alias("precedence"), F.lag("role").over(order).alias("after_role"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(g AS INTEGER) AS step FROM (SELECT l_orderkey, l_linenumber, unnest(range(0, l_linenumber)) AS g FROM lineitem WHERE l_suppkey = 1)")
+@query("SELECT l_orderkey, l_linenumber, CAST(g AS INTEGER) AS step FROM (SELECT l_orderkey, l_linenumber, unnest(range(0, l_linenumber)) AS g FROM lineitem)")
 def generated_ranges(spark, d):
-    return relalg.generate(table(spark, d, "lineitem").filter("l_suppkey = 1").select("l_orderkey", "l_linenumber"), F.lit(0), F.col("l_linenumber"), "step")
+    return relalg.generate(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), F.lit(0), F.col("l_linenumber"), "step")
 
 
 @query("SELECT p_partkey, p_name || '#' || p_brand AS label, CAST(length(p_name) AS INTEGER) AS n, substr(p_name, 1, 4) AS head, contains(p_type, 'A') AS has_a, regexp_full_match(p_brand, 'Brand#[0-9]+') AS is_brand, TRY_CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS number FROM part")
@@ -474,18 +490,17 @@ def placeholder_chains(spark, d):
     return config.resolved(values).select(F.col("source").cast("int").alias("nation"), "key", "value", "open")
 
 
-TOKEN_SQL = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents WHERE regexp_full_match(lang, 'en'))"
+TOKEN_SQL = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents)"
 
 
 @query(f"WITH {TOKEN_SQL} SELECT token, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_document FROM t GROUP BY token")
 def doc_token_index(spark, d):
-    english = table(spark, d, "documents").filter("lang = 'en'")
-    return english.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("token")).groupBy("token").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_document"))
+    return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("token")).groupBy("token").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_document"))
 
 
-@query(f"WITH {TOKEN_SQL}, n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en') SELECT token, round(ln(max(n.n)::DOUBLE / count(DISTINCT doc_id)), 6) AS idf FROM t, n GROUP BY token HAVING count(DISTINCT doc_id) >= 5")
+@query(f"WITH {TOKEN_SQL}, n AS (SELECT count(*) AS n FROM documents) SELECT token, round(ln(max(n.n)::DOUBLE / count(DISTINCT doc_id)), 6) AS idf FROM t, n GROUP BY token HAVING count(DISTINCT doc_id) >= 5")
 def context_terms_idf(spark, d):
-    total = table(spark, d, "documents").filter("lang = 'en'").agg(F.count("*").alias("n"))
+    total = table(spark, d, "documents").agg(F.count("*").alias("n"))
     return doc_token_index(spark, d).filter("documents >= 5").join(F.broadcast(total)).select("token", F.round(F.log(F.col("n") / F.col("documents")), 6).alias("idf"))
 
 
@@ -501,9 +516,9 @@ def pages_of_a_budget(spark, d):
     return table(spark, d, "documents").select("doc_id", F.floor(F.sum("n_chars").over(order) / 20000).alias("page"))
 
 
-@query("SELECT name, state, count(*) AS n FROM (SELECT p_brand AS name, CASE WHEN l_flag IS NULL THEN 'undecided' WHEN l_flag = 'R' THEN 'selected' ELSE 'excluded' END AS state FROM part LEFT JOIN (SELECT l_partkey, min(l_returnflag) AS l_flag FROM lineitem WHERE l_suppkey <= 3 GROUP BY 1) ON l_partkey = p_partkey) GROUP BY ALL")
+@query("SELECT name, state, count(*) AS n FROM (SELECT p_brand AS name, CASE WHEN l_flag IS NULL THEN 'undecided' WHEN l_flag = 'R' THEN 'selected' ELSE 'excluded' END AS state FROM part LEFT JOIN (SELECT l_partkey, min(l_returnflag) AS l_flag FROM lineitem GROUP BY 1) ON l_partkey = p_partkey) GROUP BY ALL")
 def three_state_conditions(spark, d):
-    values = table(spark, d, "lineitem").filter("l_suppkey <= 3").select(F.col("l_partkey").alias("key"), F.col("l_returnflag").alias("value"))
+    values = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_returnflag").alias("value"))
     conditions = table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("key"), F.lit("R").alias("wanted"))
     return config.three_states(conditions, values).groupBy("name", "state").agg(F.count("*").alias("n"))
 

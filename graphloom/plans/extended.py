@@ -94,12 +94,12 @@ def event_listeners(spark, d):
     return dispatch.listeners(published, handlers, _hierarchy(spark, d))
 
 
-@query("""WITH t AS (SELECT DISTINCT l_orderkey AS site, p_brand AS target FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey <= 3)
+@query("""WITH t AS (SELECT DISTINCT l_orderkey AS site, p_brand AS target FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT o_orderkey AS site, t.target, CASE count(t.target) OVER (PARTITION BY o_orderkey) WHEN 0 THEN 'ambiguous_anon' WHEN 1 THEN 'known_edge' ELSE 'multi_inferred' END AS tier FROM orders LEFT JOIN t ON t.site = o_orderkey""")
 def callables_through_holders(spark, d):
     """Calls through a holder to what other holders gave it; without any, the site stays as a row."""
     stores = table(spark, d, "part").select(node("P", "p_partkey").alias("holder"), F.col("p_brand").alias("callable"))
-    links = table(spark, d, "lineitem").filter("l_suppkey <= 3").select(node("O", "l_orderkey").alias("holder"), node("P", "l_partkey").alias("source"))
+    links = table(spark, d, "lineitem").select(node("O", "l_orderkey").alias("holder"), node("P", "l_partkey").alias("source"))
     invokes = table(spark, d, "orders").select(F.col("o_orderkey").alias("site"), node("O", "o_orderkey").alias("holder"))
     return dispatch.stored_callables(stores, links, invokes)
 
