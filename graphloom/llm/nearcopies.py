@@ -30,7 +30,7 @@ from graphloom.llm.shared import column, mapped, parted, slices_by_bytes, staged
 
 SIMILARITY, BANDS, ROWS = 0.8, 16, 3
 #: Texts of a component that one task compares in a round.
-PART = 20_000
+PART = 2_000
 ODD = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FLIP = np.random.default_rng(12).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 
