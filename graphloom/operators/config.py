@@ -9,26 +9,34 @@ from graphloom.functions.text import placeholders
 from graphloom.operators.fixpoint import fixpoint
 
 
-def resolved(values: DataFrame, rounds: int = 10) -> DataFrame:
+def resolved(values: DataFrame) -> DataFrame:
     """source, key, value, open: values (source, key, value) with one placeholder after the other replaced; open: some are left.
 
-    A key of the same source wins; a placeholder without a value takes its default; a cycle stays open."""
+    A key of the same source wins; a placeholder without a value takes its default; one whose key needs itself stays open.
+    All others end, so rounds go on until nothing changes."""
+    from graphloom.operators.fixpoint import closure
     from graphloom.operators.staging import cut
 
-    known = values.groupBy("source", "key").agg(F.min("value").alias("v"))
-    now = cut(values.select("source", "key", "value").withColumn("was", F.lit(None).cast("string")))
-    for _ in range(rounds):
-        first = F.regexp_extract("value", r"\$\{([^}:]+)(?::[^}]*)?\}", 1)
-        pending = now.withColumn("asked", F.when(first != "", first))
-        found = pending.join(known.select("source", F.col("key").alias("asked"), "v"), ["source", "asked"], "left")
-        default = F.regexp_extract("value", r"\$\{[^}:]+:([^}]*)\}", 1)
-        has_default = F.col("value").rlike(r"^[^$]*\$\{[^}:]+:[^}]*\}")
-        instead = F.coalesce("v", F.when(has_default, default))
-        text = F.regexp_extract("value", r"(\$\{[^}:]+(?::[^}]*)?\})", 1)
-        changed = F.when(F.col("asked").isNotNull() & instead.isNotNull() & (F.col("asked") != F.col("key")), F.replace("value", text, instead)).otherwise(F.col("value"))
-        now = cut(found.select("source", "key", changed.alias("value"), F.col("value").alias("was")))
-        if now.filter("value <> was").isEmpty():
+    known = cut(values.groupBy("source", "key").agg(F.min("value").alias("v")), "keys")
+    name = lambda key: F.concat("source", F.lit("\n"), key)
+    needs = known.select(name(F.col("key")).alias("a"), "source", F.explode(placeholders(F.col("v"))).alias("on")).select("a", name(F.col("on")).alias("b"))
+    cyclic = cut(closure(needs).filter("a = b").select(F.col("a").alias("cyclic")).distinct(), "cyclic")
+    usable = cut(known.join(cyclic, name(F.col("key")) == F.col("cyclic"), "left").select("source", F.col("key").alias("asked"), "v", F.col("cyclic").isNotNull().alias("turns")), "usable")
+    now = cut(values.select("source", "key", "value", F.lit(0).alias("done")))
+    while True:
+        # the first placeholder that isn't known to stay
+        left = F.substring("value", F.col("done") + 1, 1 << 30)
+        text = F.regexp_extract(left, r"(\$\{([^}:]+)(?::[^}]*)?\})", 1)
+        pending = now.withColumn("text", text).withColumn("asked", F.when(F.col("text") != "", F.regexp_extract("text", r"\$\{([^}:]+)", 1)))
+        if pending.filter("asked IS NOT NULL").isEmpty():
             break
+        found = pending.join(usable, ["source", "asked"], "left")
+        default = F.when(F.col("text").contains(":"), F.regexp_extract("text", r"\$\{[^}:]+:([^}]*)\}", 1))
+        instead = F.when(F.coalesce("turns", F.lit(False)), F.lit(None).cast("string")).otherwise(F.coalesce("v", default))
+        at = F.expr("locate(text, value, done + 1)")
+        changed = F.concat(F.expr("substring(value, 1, locate(text, value, done + 1) - 1)"), instead, F.expr("substring(value, locate(text, value, done + 1) + length(text))"))
+        stays = F.col("asked").isNotNull() & instead.isNull()
+        now = cut(found.select("source", "key", F.when(F.col("asked").isNull() | stays, F.col("value")).otherwise(changed).alias("value"), F.when(stays, at - 1 + F.length("text")).otherwise(F.col("done")).cast("int").alias("done")))
     return now.select("source", "key", "value", (F.size(placeholders(F.col("value"))) > 0).alias("open"))
 
 

@@ -30,11 +30,37 @@ def overrides(members: DataFrame, parents: DataFrame) -> DataFrame:
     return ancestors(parents).join(members, F.col("type") == F.col("owner")).join(base, ["name", "arity"]).filter(F.col("ancestor") == F.col("base_owner")).select("base_owner", "owner", "name", "arity").distinct()
 
 
-def precedence(slots: DataFrame, parents: DataFrame) -> DataFrame:
-    """type, base, rank: bases in the order in which they are asked, by depth and local position."""
-    seen = ancestors(parents).select("type", F.col("ancestor").alias("base"), "depth")
-    placed = seen.join(slots, ["type", "base"], "left").withColumn("position", F.coalesce("position", F.lit(1 << 20)))
-    return placed.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy("depth", "position", "base")) - 1).select("type", "base", "rank")
+ORDER = """
+.decl slot(type: symbol, position: number, base: symbol) .input slot
+.decl above(type: symbol, base: symbol)
+above(t, b) :- slot(t, _, b), t != b.
+above(t, b) :- above(t, m), slot(m, _, b), t != b.
+// a type comes before its bases, a base before those that it has itself and, of one type, those written after it
+.decl before(type: symbol, a: symbol, b: symbol)
+before(t, t, b) :- above(t, b).
+before(t, a, b) :- above(t, a), above(a, b).
+before(t, a, b) :- slot(t, p, a), slot(t, q, b), p < q.
+before(t, a, b) :- above(t, m), before(m, a, b).
+before(t, a, c) :- before(t, a, b), before(t, b, c).
+.decl incomparable(type: symbol, a: symbol, b: symbol)
+incomparable(t, a, b) :- above(t, a), above(t, b), a < b, !before(t, a, b), !before(t, b, a).
+incomparable(t, a, b) :- before(t, a, b), before(t, b, a), a < b.
+.decl open(type: symbol) open(t) :- incomparable(t, _, _).
+.decl place(type: symbol, base: symbol, rank: number)
+place(t, b, n) :- before(t, t, b), !open(t), n = count : { before(t, _, b) }.
+place(t, t, 0) :- slot(t, _, _), !open(t).
+"""
+
+
+def precedence(slots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(type, base, rank) where the order of a type's bases is total, itself first; (type, a, b) of pairs that nothing orders.
+
+    slots: type, position, base. The order is what inheritance and the written order of bases imply, closed transitively;
+    a type with a pair that stays open, or that is ordered both ways, has no ranks."""
+    from graphloom.rules.solve import solve
+
+    found = solve(slots.sparkSession, ORDER, {"slot": slots.select("type", "position", "base")}, ["place", "incomparable"])
+    return found["place"], found["incomparable"]
 
 
 def satisfies(required: DataFrame, declared: DataFrame) -> DataFrame:
@@ -46,11 +72,33 @@ def satisfies(required: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def direct_parents(spans: DataFrame) -> DataFrame:
-    """id, parent: the smallest span of one file that strictly holds another (file, id, low, high)."""
-    outer = spans.select("file", F.col("id").alias("parent"), F.col("low").alias("p_low"), F.col("high").alias("p_high"))
-    inside = spans.join(outer, "file").filter((F.col("low") >= F.col("p_low")) & (F.col("high") <= F.col("p_high")) & ((F.col("high") - F.col("low")) < (F.col("p_high") - F.col("p_low"))))
-    order = Window.partitionBy("file", "id").orderBy(F.col("p_high") - F.col("p_low"), F.desc("p_low"), "parent")
-    return inside.withColumn("n", F.row_number().over(order)).filter("n = 1").select("id", "parent")
+    """id, parent: the smallest span of one file that strictly holds another (file, id, low, high).
+
+    A file's spans in order of their beginning, longer ones first: a stack of the spans that are still open holds the parent.
+    No span meets all others; spans that cross are no parents of each other."""
+    import pyarrow as pa
+
+    kind = spans.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        file, open_ = None, []
+        for batch in batches:
+            ids, parents = [], []
+            for f, i, low, high in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if f != file:
+                    file, open_ = f, []
+                while open_ and open_[-1][2] < low:
+                    open_.pop()
+                # the smallest open span that ends no earlier and isn't the same one
+                parent = min((o for o in open_ if o[2] >= high and (o[1], o[2]) != (low, high)), key=lambda o: (o[2] - o[1], -o[1]), default=None)
+                if parent:
+                    ids.append(i)
+                    parents.append(parent[0])
+                open_.append((i, low, high))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(1).type), pa.array(parents, batch.schema.field(1).type)], names=["id", "parent"])
+
+    dealt = spans.select("file", "id", "low", "high").distinct().repartition("file").sortWithinPartitions("file", "low", F.desc("high"), F.desc("id"))
+    return dealt.mapInArrow(run, f"id {kind}, parent {kind}")
 
 
 def virtual_targets(calls: DataFrame, overriding: DataFrame, instantiated: DataFrame | None = None) -> DataFrame:

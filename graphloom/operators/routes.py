@@ -22,11 +22,13 @@ def stands_in(segment: Column) -> Column:
     return segment.rlike(r"^(:.*|\{.*\}|<.*>|\$\{.*\}|\*)$")
 
 
-def composed(mounts: DataFrame, routes: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
-    """verb, path, handler of routes (router, verb, path, handler) under every chain of mounts (parent, child, prefix) from a root (router)."""
+def composed(mounts: DataFrame, routes: DataFrame, roots: DataFrame) -> DataFrame:
+    """verb, path, handler of routes (router, verb, path, handler) under every chain of mounts (parent, child, prefix) from a root (router).
+
+    A chain doesn't mount a router inside itself, so chains end, however deep they are."""
     hops = mounts.select(F.col("parent").alias("router"), "child", "prefix").distinct()
-    seed = roots.select("router", F.lit("").alias("at"), F.lit(0).alias("depth"))
-    found = fixpoint(seed, lambda fresh: fresh.join(hops, "router").select(F.col("child").alias("router"), F.concat("at", F.lit("/"), "prefix").alias("at"), (F.col("depth") + 1).alias("depth")), ["router", "at"], max_depth, bounded=True)
+    seed = roots.select("router", F.lit("").alias("at"), F.array("router").alias("chain"))
+    found = fixpoint(seed, lambda fresh: fresh.join(hops, "router").filter(~F.array_contains("chain", F.col("child"))).select(F.col("child").alias("router"), F.concat("at", F.lit("/"), "prefix").alias("at"), F.array_append("chain", F.col("child")).alias("chain")), ["router", "at", "chain"])
     return found.join(routes, "router").select("verb", plain_path(F.concat("at", F.lit("/"), "path")).alias("path"), "handler").distinct()
 
 
@@ -38,12 +40,21 @@ def middleware(registered: DataFrame) -> DataFrame:
 def matched(clients: DataFrame, routes: DataFrame) -> DataFrame:
     """site, handler, path: routes (verb, path, handler) that a client's request (site, verb, path) fits, those with fewest stand-ins.
 
-    Joined on verb and number of segments; a stand-in on either side takes any segment."""
+    Joined on verb, number of segments and the place and text of one that is no stand-in on either side, of which a fitting
+    pair without stand-ins of the client has one for each of the route's; routes of stand-ins only, and clients with one, are
+    met by the shape alone."""
     left = clients.select("site", F.upper("verb").alias("verb"), segments(F.col("path")).alias("asked")).withColumn("n", F.size("asked"))
     right = routes.select(F.upper("verb").alias("verb"), "path", "handler", segments(F.col("path")).alias("served")).withColumn("n", F.size("served"))
     fits = F.forall(F.zip_with("asked", "served", lambda a, s: (a == s) | stands_in(a) | stands_in(s)), lambda x: x)
     vague = F.size(F.filter("served", stands_in))
-    met = left.join(right, ["verb", "n"]).filter(fits).withColumn("vague", vague)
+    # a route is found by its first plain segment; a client without stand-ins asks with each of its own
+    first = F.array_position(F.transform("served", lambda s: ~stands_in(s)), True)
+    right = right.withColumn("at", first.cast("int")).withColumn("word", F.when(F.col("at") > 0, F.element_at("served", F.greatest("at", F.lit(1)))).otherwise(F.lit("")))
+    open_ = F.exists("asked", stands_in)
+    asks = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("word"))), F.transform("asked", lambda s, i: F.struct((i + 1).cast("int").alias("at"), s.alias("word"))))
+    plain = left.filter(~open_).select("*", F.explode(asks).alias("by")).select("site", "verb", "asked", "n", "by.at", "by.word")
+    met = plain.join(right, ["verb", "n", "at", "word"]).select("site", "asked", "served", "path", "handler")
+    met = met.union(left.filter(open_).join(right, ["verb", "n"]).select("site", "asked", "served", "path", "handler")).filter(fits).withColumn("vague", vague)
     best = met.withColumn("r", F.rank().over(Window.partitionBy("site").orderBy("vague")))
     return best.filter("r = 1").select("site", "handler", "path").distinct()
 

@@ -82,7 +82,9 @@ def loads(links: DataFrame, sheets: DataFrame, imports: DataFrame) -> tuple[Data
     known = sheets.select("sheet").distinct()
     direct = links.join(known, F.col("href") == F.col("sheet")).select("page_id", "sheet", "place")
     steps = imports.select("sheet", "imported").distinct()
-    every = fixpoint(direct, lambda fresh: fresh.join(steps, "sheet").select("page_id", F.col("imported").alias("sheet"), "place"), ["page_id", "sheet"])
+    # a sheet's place on a page is that of the first link that leads to it
+    every = fixpoint(direct, lambda fresh: fresh.join(steps, "sheet").select("page_id", F.col("imported").alias("sheet"), "place"), ["page_id", "sheet", "place"])
+    every = every.groupBy("page_id", "sheet").agg(F.min("place").alias("place"))
     reason = F.when(F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:|^//"), "external").when(F.col("href") == "", "empty").when(F.col("href").rlike(r"[{<$]"), "template").otherwise("no such file")
     unknown = links.join(known, F.col("href") == F.col("sheet"), "left_anti").select("page_id", "href", reason.alias("reason"))
     return every.join(known, "sheet", "left_semi").select("page_id", "sheet", "place"), unknown
@@ -137,8 +139,14 @@ def controls(tree: DataFrame) -> DataFrame:
     return found.select("page_id", "control", F.coalesce("form_by", "form_in").alias("form"), F.coalesce("label_by", "label_in").alias("label"))
 
 
-def nested(rules: DataFrame, max_depth: int = 20) -> DataFrame:
-    """rule, selector of nested rules (rule, parent, selector): & stands for the parent's selector, and what has none comes below it."""
+def nested(rules: DataFrame) -> DataFrame:
+    """rule, selector of nested rules (rule, parent, selector): & stands for the parent's selector, and what has none comes below it.
+
+    A parent's list stands as :is(…), in & and in front; of a list below it, each selector is joined for itself. A rule has one
+    parent, so the recursion ends with the deepest rule; rules in a cycle have no selector."""
     up = rules.select(F.col("rule").alias("child"), F.col("parent").alias("rule"), F.col("selector").alias("inner"))
-    joined = F.when(F.col("inner").contains("&"), F.replace("inner", F.lit("&"), F.col("selector"))).otherwise(F.concat_ws(" ", "selector", "inner"))
-    return fixpoint(rules.filter("parent IS NULL").select("rule", "selector"), lambda fresh: fresh.join(up, "rule").select(F.col("child").alias("rule"), joined.alias("selector")), ["rule"], max_depth, bounded=True)
+    top_commas = r",(?![^(\[]*[)\]])"
+    outer = F.when(F.col("selector").rlike(top_commas), F.concat(F.lit(":is("), F.col("selector"), F.lit(")"))).otherwise(F.col("selector"))
+    each = F.transform(F.split("inner", top_commas), lambda s: F.trim(s))
+    joined = F.array_join(F.transform(each, lambda s: F.when(s.contains("&"), F.replace(s, F.lit("&"), outer)).otherwise(F.concat(outer, F.lit(" "), s))), ", ")
+    return fixpoint(rules.filter("parent IS NULL").select("rule", "selector"), lambda fresh: fresh.join(up, "rule").select(F.col("child").alias("rule"), joined.alias("selector")), ["rule"])

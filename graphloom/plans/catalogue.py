@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
-from graphloom.operators import config, fixpoint, graph, hierarchy, relalg, tiers, web
+from graphloom.operators import config, fixpoint, graph, hierarchy, questions, relalg, tiers, web
 from graphloom.plans.orders import EDGES_SQL, edges, reach_sql, start
+from graphloom.sources import bundle
 from graphloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,14 +267,11 @@ def parts_returned_and_open(spark, d):
 # tiers and conservation
 
 
-TIER_SQL = """WITH t AS (SELECT l_orderkey, l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, l_partkey, n, CASE WHEN n = 1 THEN 'known_edge' ELSE 'multi_inferred' END AS tier FROM t"""
-
-
-@query(TIER_SQL)
+@query("""WITH p AS (SELECT DISTINCT l_orderkey || '-' || l_partkey AS site, l_suppkey AS target FROM lineitem), f AS (SELECT site, count(*) AS n FROM p GROUP BY site)
+SELECT site, target, CASE WHEN n = 1 THEN 'known_edge' ELSE 'multi_inferred' END AS tier FROM p JOIN f USING (site)""")
 def order_part_supplier_tiers(spark, d):
-    counted = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.countDistinct("l_suppkey").alias("n"))
-    return counted.withColumn("tier", F.when(F.col("n") == 1, "known_edge").otherwise("multi_inferred"))
+    sites = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("site"), F.col("l_suppkey").alias("target"), F.lit("client").alias("provenance"))
+    return tiers.tiered_edges(sites, sites)
 
 
 def _order_edges(spark, d, cap=None):
@@ -404,13 +402,12 @@ def reached_only_through(spark, d):
     return graph.only_through(small, start(spark, "O:1"), (first.a, first.b))
 
 
-@query("SELECT coalesce(a.k, b.k) AS o_custkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'changed' ELSE 'same' END AS change FROM (SELECT o_custkey AS k, max(o_orderstatus) AS s FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, max(o_orderstatus) AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1) b ON a.k = b.k")
+@query("""WITH a AS (SELECT o_custkey AS k, max(o_orderstatus) AS s, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_orderstatus) AS s, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1)
+SELECT qualified_name, change FROM (SELECT 'C:' || coalesce(a.k, b.k) AS qualified_name, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'signature' WHEN a.n <> b.n THEN 'body only' END AS change FROM a FULL JOIN b ON a.k = b.k) WHERE change IS NOT NULL""")
 def order_status_diff(spark, d):
-    orders = table(spark, d, "orders")
-    half = lambda c, k: orders.filter(c).groupBy(F.col("o_custkey").alias(k)).agg(F.max("o_orderstatus").alias(f"s_{k}"))
-    both = half("o_orderdate < timestamp'1995-01-01'", "a").join(half("o_orderdate >= timestamp'1995-01-01'", "b"), F.col("a") == F.col("b"), "full")
-    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("s_a") != F.col("s_b"), "changed").otherwise("same")
-    return both.select(F.coalesce("a", "b").alias("o_custkey"), change.alias("change"))
+    """What changed between two snapshots of customers, by name."""
+    half = lambda c: table(spark, d, "orders").filter(c).groupBy(F.concat(F.lit("C:"), F.col("o_custkey").cast("string")).alias("qualified_name")).agg(F.lit("method").alias("kind"), F.max("o_orderstatus").alias("signature"), F.count("*").alias("body"))
+    return questions.changed(half("o_orderdate < timestamp'1995-01-01'"), half("o_orderdate >= timestamp'1995-01-01'"))
 
 
 @query("SELECT *, 'removed' AS change FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <= 2 EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1) UNION ALL SELECT *, 'added' FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1 EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <= 2)")
@@ -422,9 +419,17 @@ def graph_difference(spark, d):
 # hierarchy on the order graph: regions as supertypes of nations, nations of customers
 
 
-@query("SELECT c_custkey AS customer, n_nationkey AS nation, n_regionkey AS region FROM customer JOIN nation ON n_nationkey = c_nationkey")
+@query("SELECT 'N:' || n_nationkey AS id, 'R:' || n_regionkey AS parent FROM nation UNION ALL SELECT 'C:' || c_custkey, 'N:' || c_nationkey FROM customer")
 def containment_roll_up(spark, d):
-    return table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("customer"), F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    """The direct parent of each span: a region is a file, its nations stretches of it, their customers lines in these."""
+    wide = 10**9
+    nation, c = table(spark, d, "nation"), lambda k, x: F.concat(F.lit(k), F.col(x).cast("string")).alias("id")
+    low = F.col("n_nationkey").cast("long") * wide
+    file = F.col("n_regionkey").alias("file")
+    spans = table(spark, d, "region").select(F.col("r_regionkey").alias("file"), c("R:", "r_regionkey"), F.lit(0).cast("long").alias("low"), F.lit(wide * 10**6).alias("high"))
+    spans = spans.union(nation.select(file, c("N:", "n_nationkey"), low, low + wide - 1))
+    inside = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return hierarchy.direct_parents(spans.union(inside.select(file, c("C:", "c_custkey"), low + F.col("c_custkey") % wide, low + F.col("c_custkey") % wide)))
 
 
 HIER_SQL = "p AS (SELECT 'C:' || c_custkey AS type, 'N:' || c_nationkey AS parent FROM customer UNION ALL SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation)"
@@ -462,10 +467,10 @@ def structural_satisfaction(spark, d):
 
 @query("SELECT a.o_orderkey AS id, arg_min(b.o_orderkey, struct_pack(d := b.o_orderdate, k := b.o_orderkey)) AS next_order FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate > a.o_orderdate GROUP BY a.o_orderkey")
 def nearest_following_order(spark, d):
-    order = Window.partitionBy("o_custkey").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
-    at = table(spark, d, "orders").withColumn("at", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
-    found = at.withColumn("n", F.min(F.struct("at", "o_orderkey")).over(order)).filter("n IS NOT NULL")
-    return found.select(F.col("o_orderkey").alias("id"), F.col("n.o_orderkey").alias("next_order"))
+    """As-of with time running backwards: the last order strictly before is the next one."""
+    orders = table(spark, d, "orders").withColumns({"back": -F.unix_micros(F.col("o_orderdate").cast("timestamp")), "order": -F.col("o_orderkey")})
+    found = relalg.as_of(orders.select("o_orderkey", "o_custkey", "back"), orders.select("o_custkey", "back", "order"), ["o_custkey"], "back", ["order"])
+    return found.filter("prior_order IS NOT NULL").select(F.col("o_orderkey").alias("id"), (-F.col("prior_order")).alias("next_order"))
 
 
 # configuration, text, vocabulary
@@ -506,14 +511,13 @@ def context_terms_idf(spark, d):
 
 @query("SELECT 'event_type' AS field, event_type AS value, count(*) AS n, event_type IN ('click', 'view', 'purchase') AS documented FROM events GROUP BY event_type")
 def vocab_event_type(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n")).select(F.lit("event_type").alias("field"), "value", "n", F.col("value").isin("click", "view", "purchase").alias("documented"))
+    return bundle.vocabulary(table(spark, d, "events"), ["event_type"], {"event_type": ["click", "view", "purchase"]})
 
 
-@query("SELECT doc_id, CAST(floor(s / 20000) AS BIGINT) AS page FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM documents)")
+@query("SELECT doc_id, CAST(floor((s - n_chars) / 20000) AS BIGINT) AS page FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM documents)")
 def pages_of_a_budget(spark, d):
     """Pagination: documents of a source on pages of a fixed budget of characters."""
-    order = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "documents").select("doc_id", F.floor(F.sum("n_chars").over(order) / 20000).alias("page"))
+    return questions.pages(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 20000).select("doc_id", "page")
 
 
 @query("SELECT name, state, count(*) AS n FROM (SELECT p_brand AS name, CASE WHEN l_flag IS NULL THEN 'undecided' WHEN l_flag = 'R' THEN 'selected' ELSE 'excluded' END AS state FROM part LEFT JOIN (SELECT l_partkey, min(l_returnflag) AS l_flag FROM lineitem GROUP BY 1) ON l_partkey = p_partkey) GROUP BY ALL")

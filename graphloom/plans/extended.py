@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import dispatch, flow, graph, questions, relalg, routes, styles, web
+from graphloom.operators import dispatch, flow, graph, hierarchy, questions, relalg, routes, styles, web
 from graphloom.plans.catalogue import HIER_SQL, SITE_SQL, _hierarchy, _order_edges, query
 from graphloom.plans.orders import EDGES_SQL, edges, node, reach_sql, start
 from graphloom.sources.tables import table
@@ -183,26 +183,119 @@ def longhand_declarations(spark, d):
     return styles.expanded(declared).select("page_id", "via", "property")
 
 
-@query()
+@query("""WITH r AS (SELECT n_regionkey AS page_id, n_nationkey, NULL AS c_custkey, n_name AS title FROM nation UNION ALL SELECT n_regionkey, n_nationkey, c_custkey, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+e AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n_nationkey, c_custkey NULLS FIRST) AS element FROM r), h AS (SELECT page_id, n_nationkey, element FROM e WHERE c_custkey IS NULL)
+SELECT e.page_id, CAST(e.element AS INTEGER) AS element, CASE WHEN c_custkey IS NULL THEN 2 ELSE 3 END AS level, title, CAST(CASE WHEN c_custkey IS NOT NULL THEN h.element END AS INTEGER) AS parent FROM e JOIN h ON h.page_id = e.page_id AND h.n_nationkey = e.n_nationkey""")
 def page_outline_parents(spark, d):
-    """Headings of the parsed pages under the heading they belong to."""
-    from graphloom.operators.staging import cut
+    """Headings under the heading they belong to: a page for each region, its nations and, below each, the customers."""
+    from pyspark.sql import Window
 
-    return styles.outline(cut(web.elements(table(spark, d, "pages"))))
+    nation = table(spark, d, "nation")
+    people = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("page_id"), "n_nationkey", "c_custkey", F.lit("h3").alias("tag"), F.col("c_name").alias("text"))
+    heads = nation.select(F.col("n_regionkey").alias("page_id"), "n_nationkey", F.lit(None).cast("long").alias("c_custkey"), F.lit("h2").alias("tag"), F.col("n_name").alias("text")).union(people)
+    order = Window.partitionBy("page_id").orderBy("n_nationkey", F.col("c_custkey").asc_nulls_first())
+    return styles.outline(heads.withColumn("element", F.row_number().over(order)))
 
 
-@query()
+@query("""SELECT n_regionkey AS page_id, CAST(c_custkey + 100 AS INTEGER) AS control, CAST(n_nationkey + 1 AS INTEGER) AS form, CASE WHEN c_custkey % 2 = 0 THEN CAST(n_nationkey + 1000000000 AS INTEGER) END AS label FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def page_inventory(spark, d):
-    """By kind, how many duplicate ids, fragment links, handlers, inline styles and controls the parsed pages have."""
-    from graphloom.operators.staging import cut
-
-    tree = cut(web.elements(table(spark, d, "pages")))
-    parts = {"duplicate id": styles.duplicate_ids(tree), "fragment link": styles.fragment_targets(tree), "handler": styles.handlers(tree), "inline style": styles.inline_styles(tree), "control": styles.controls(tree)}
-    out = None
-    for kind, df in parts.items():
-        one = df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
-        out = one if out is None else out.union(one)
-    return out
+    """Controls with their form and label: a form for each nation, a control for each customer, every other one named by a label."""
+    nation = table(spark, d, "nation")
+    row = lambda page, element, parent, tag, own, form, target: [page.cast("long").alias("page_id"), element.cast("int").alias("element"), parent.cast("int").alias("parent"), F.lit(tag).alias("tag"), own.alias("id"), F.create_map(F.lit("form"), form, F.lit("for"), target).alias("attributes")]
+    none = F.lit(None).cast("string")
+    roots = table(spark, d, "region").select(*row(F.col("r_regionkey"), F.lit(0), F.lit(-1), "html", none, none, none))
+    forms = nation.select(*row(F.col("n_regionkey"), F.col("n_nationkey") + 1, F.lit(0), "form", none, none, none))
+    labels = nation.select(*row(F.col("n_regionkey"), F.col("n_nationkey") + 1_000_000_000, F.lit(0), "label", none, none, F.concat(F.lit("i"), F.col("n_nationkey").cast("string"))))
+    people = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    inputs = people.select(*row(F.col("n_regionkey"), F.col("c_custkey") + 100, F.col("n_nationkey") + 1, "input", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("i"), F.col("n_nationkey").cast("string"))), none, none))
+    return styles.controls(roots.union(forms).union(labels).union(inputs))
+
+
+@query("""SELECT c_custkey AS page_id, '/n' || c_nationkey AS sheet, 1 AS place FROM customer UNION ALL SELECT c_custkey, '/' || c_mktsegment, 0 FROM customer
+UNION ALL SELECT c_custkey, '/r' || n_regionkey, 1 FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def sheets_of_pages(spark, d):
+    """What pages load, by links and by imports of what they link."""
+    customer, nation = table(spark, d, "customer"), table(spark, d, "nation")
+    name = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    links = customer.select(F.col("c_custkey").alias("page_id"), name("/n", "c_nationkey").alias("href"), F.lit(1).alias("place")).union(customer.select("c_custkey", name("/", "c_mktsegment"), F.lit(0)))
+    sheets = nation.select(name("/n", "n_nationkey").alias("sheet")).union(nation.select(name("/r", "n_regionkey"))).union(customer.select(name("/", "c_mktsegment"))).distinct()
+    return styles.loads(links, sheets, nation.select(name("/n", "n_nationkey").alias("sheet"), name("/r", "n_regionkey").alias("imported")))[0]
+
+
+SLOTS_SQL = "s AS (SELECT 'C:' || c_custkey AS type, 0 AS position, 'N:' || c_nationkey AS base FROM customer UNION ALL SELECT 'C:' || c_custkey, 1, 'S:' || c_mktsegment FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'N:' || n_nationkey, 0, 'R:' || n_regionkey FROM nation)"
+
+
+def _slots(spark, d):
+    customer = table(spark, d, "customer")
+    row = lambda t, p, b: [t.alias("type"), F.lit(p).alias("position"), b.alias("base")]
+    more = customer.filter("c_custkey % 3 = 0").select(*row(node("C", "c_custkey"), 1, node("S", "c_mktsegment")))
+    return customer.select(*row(node("C", "c_custkey"), 0, node("N", "c_nationkey"))).union(more).union(table(spark, d, "nation").select(*row(node("N", "n_nationkey"), 0, node("R", "n_regionkey"))))
+
+
+@query(f"""WITH {SLOTS_SQL}, t AS (SELECT type FROM s GROUP BY type HAVING count(*) = 1) SELECT type, type AS base, 0 AS rank FROM t UNION ALL SELECT s.type, base, 1 FROM s JOIN t USING (type)
+UNION ALL SELECT s.type, u.base, 2 FROM s JOIN t USING (type) JOIN s u ON u.type = s.base""")
+def bases_in_order(spark, d):
+    """Types with their bases in the order in which they are asked, where that is total."""
+    return hierarchy.precedence(_slots(spark, d))[0]
+
+
+@query(f"""WITH {SLOTS_SQL} SELECT a.type, least(r.base, b.base) AS a, greatest(r.base, b.base) AS b FROM s a JOIN s b ON b.type = a.type AND b.position = 1 JOIN s r ON r.type = a.base WHERE a.position = 0""")
+def bases_in_doubt(spark, d):
+    """Pairs of bases that neither inheritance nor the written order puts before the other."""
+    return hierarchy.precedence(_slots(spark, d))[1]
+
+
+# rule programs
+
+
+@query("""WITH own AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey % 2 = 0), d AS (SELECT c_custkey, n_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+wide AS (SELECT c_custkey, 'N:' || o.n_nationkey || '.ship' AS target FROM d JOIN own o ON o.n_regionkey = d.n_regionkey), w AS (SELECT c_custkey, count(*) AS n FROM wide GROUP BY c_custkey)
+SELECT 'new ' || c_custkey AS site, 'M:' || n_regionkey AS "from", '' AS "to", 'client' AS provenance, 'ambiguous_unknown' AS tier FROM d
+UNION ALL SELECT 'exact ' || c_custkey, 'M:' || n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN 'N:' || n_nationkey || '.ship' ELSE 'R:' || n_regionkey || '.ship' END, 'client', 'known_edge' FROM d
+UNION ALL SELECT 'any ' || d.c_custkey, 'M:' || d.n_regionkey, wide.target, 'client', CASE WHEN w.n = 1 THEN 'known_edge' ELSE 'multi_inferred' END FROM d JOIN wide USING (c_custkey) JOIN w USING (c_custkey)""")
+def rule_call_edges(spark, d):
+    """The call program: regions declare a method that every other nation overrides; customers call it on a constructed
+    nation and on a variable of their region's type."""
+    from graphloom.rules.programs import program
+    from graphloom.rules.solve import solve
+
+    nation = table(spark, d, "nation").withColumns({"n": node("N", "n_nationkey"), "r": node("R", "n_regionkey"), "m": node("M", "n_regionkey")})
+    regions = nation.select("r", "m").distinct()
+    lit = F.lit
+    types = nation.select("n", "n", lit("p"), lit("f"), lit("class"), lit("")).union(regions.select("r", "r", lit("p"), lit("f"), lit("class"), lit("")))
+    ship = lambda owner, kind: [F.concat(owner, lit(".ship")), F.col(owner), lit("ship"), lit(0), lit(kind), lit("")]
+    methods = nation.filter("n_nationkey % 2 = 0").select(*ship("n", "instance")).union(regions.select(*ship("r", "abstract"))).union(regions.select("m", "r", lit("run"), lit(0), lit("static"), lit("")))
+    sites = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = lambda k: F.concat(lit(k + " "), F.col("c_custkey").cast("string"))
+    expr = lambda k, kind, text: sites.select(name(k), "m", "r", lit(kind), text, lit(1))
+    exprs = expr("new", "new", F.col("n")).union(expr("exact", "call", lit("ship"))).union(expr("name", "name", lit("v"))).union(expr("any", "call", lit("ship")))
+    inputs = {
+        "type": types, "method": methods, "expr": exprs, "heritage": nation.select("n", lit(0), "r", lit("extends")), "variable": regions.select("m", lit("v"), "r", lit("local")),
+        "receiver": sites.select(name("exact"), name("new")).union(sites.select(name("any"), name("name"))), "arity": sites.select(name("new"), lit(0)).union(sites.select(name("exact"), lit(0))).union(sites.select(name("any"), lit(0))),
+        "cap": relalg.facts(spark, [(50,)], "n long"),
+    }
+    return solve(spark, program("calls"), inputs, ["call_edge"])["call_edge"]
+
+
+@query("""WITH RECURSIVE f AS (SELECT event_type AS a, n AS b FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL GROUP BY ALL),
+w AS (SELECT (SELECT min(a) FROM f) AS node, 0 AS rest UNION SELECT f.b, (w.rest + 1) % 3 FROM w JOIN f ON f.a = w.node) SELECT node, rest FROM w""")
+def rule_three_relations(spark, d):
+    """Three relations that recur through each other: what is 0, 1 and 2 hops away, counted by three."""
+    from graphloom.plans.catalogue import _event_edges
+    from graphloom.rules.solve import solve
+
+    text = """
+    .decl edge(a: symbol, b: symbol) .input edge
+    .decl first(a: symbol) first(x) :- edge(x, _), x = min y : { edge(y, _) }.
+    .decl zero(a: symbol) .decl one(a: symbol) .decl two(a: symbol)
+    zero(x) :- first(x).
+    one(y) :- zero(x), edge(x, y).
+    two(y) :- one(x), edge(x, y).
+    zero(y) :- two(x), edge(x, y).
+    .decl hops(node: symbol, rest: number)
+    hops(x, 0) :- zero(x).  hops(x, 1) :- one(x).  hops(x, 2) :- two(x).
+    """
+    return solve(spark, text, {"edge": _event_edges(spark, d)}, ["hops"])["hops"]
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, {reach_sql('C:1', True, 'g')} SELECT node, depth FROM g")

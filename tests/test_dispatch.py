@@ -83,11 +83,16 @@ def test_calls_hand_over(spark):
 def test_routes(spark):
     mounts = spark.createDataFrame([("app", "api", "/api/"), ("api", "users", "users"), ("api", "api", "again")], "parent string, child string, prefix string")
     own = spark.createDataFrame([("users", "get", "/:id", "show"), ("users", "get", "/me", "me"), ("app", "post", "/", "root")], "router string, verb string, path string, handler string")
-    made = routes.composed(mounts, own, spark.createDataFrame([("app",)], "router string"), max_depth=2)
+    made = routes.composed(mounts, own, spark.createDataFrame([("app",)], "router string"))
     assert rows(made) == [("get", "/api/users/:id", "show"), ("get", "/api/users/me", "me"), ("post", "/", "root")]
     asked = spark.createDataFrame([("c1", "GET", "/api/users/me?x=1"), ("c2", "get", "/api/users/${id}"), ("c3", "get", "/nowhere")], "site string, verb string, path string")
     met = routes.matched(asked, made)
     assert rows(met) == [("c1", "me", "/api/users/me"), ("c2", "me", "/api/users/me")]
+    chain = spark.createDataFrame([(f"r{k}", f"r{k + 1}", f"p{k}") for k in range(14)], "parent string, child string, prefix string")
+    far = spark.createDataFrame([("r14", "get", "end", "h")], "router string, verb string, path string, handler string")
+    assert rows(routes.composed(chain, far, spark.createDataFrame([("r0",)], "router string"))) == [("get", "/" + "/".join(f"p{k}" for k in range(14)) + "/end", "h")]
+    order = routes.middleware(spark.createDataFrame([("a", "log", 3, 1), ("a", "auth", 2, 5), ("b", "x", 1, 1), ("a", "cors", 2, 1)], "router string, handler string, line int, column int"))
+    assert sorted((r.router, r.place, r.handler) for r in order.collect()) == [("a", 0, "cors"), ("a", 1, "auth"), ("a", 2, "log"), ("b", 0, "x")]
     lonely, unasked = routes.alone(asked, made, met)
     assert [r.site for r in lonely.collect()] == ["c3"] and {r.handler for r in unasked.collect()} == {"show", "root"}
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from graphloom.operators import config, fixpoint, graph, hierarchy, tiers
@@ -86,9 +88,14 @@ def test_hierarchy_with_diamond_and_cycle(spark):
 
 
 def test_precedence_and_satisfaction(spark):
-    parents = spark.createDataFrame([("d", "b"), ("d", "c"), ("b", "a")], "type string, parent string")
-    slots = spark.createDataFrame([("d", 0, "c"), ("d", 1, "b")], "type string, position int, base string")
-    assert [r for r in rows(hierarchy.precedence(slots, parents)) if r[0] == "d"] == [("d", "a", 2), ("d", "b", 1), ("d", "c", 0)]
+    slots = spark.createDataFrame([("d", 0, "b"), ("d", 1, "c"), ("b", 0, "a"), ("e", 0, "c"), ("e", 1, "b"), ("c", 0, "a"), ("x", 0, "y"), ("y", 0, "x")], "type string, position int, base string")
+    place, pairs = hierarchy.precedence(slots)
+    found = rows(place)
+    assert [r for r in found if r[0] == "d"] == [("d", "a", 3), ("d", "b", 1), ("d", "c", 2), ("d", "d", 0)]
+    assert [r[1] for r in sorted(found, key=lambda r: r[2]) if r[0] == "e"] == ["e", "c", "b", "a"]
+    lone = spark.createDataFrame([("d", 0, "b"), ("d", 1, "c"), ("b", 0, "a")], "type string, position int, base string")
+    place, pairs = hierarchy.precedence(lone)  # nothing orders what b inherits and what is written after b
+    assert rows(pairs) == [("d", "a", "c")] and not [r for r in rows(place) if r[0] == "d"]
     need = spark.createDataFrame([("i", "f", 0), ("i", "g", 1)], "contract string, name string, arity int")
     has = spark.createDataFrame([("x", "f", 0), ("x", "g", 1), ("y", "f", 0), ("y", "g", 2)], "type string, name string, arity int")
     assert rows(hierarchy.satisfies(need, has)) == [("i", "x")]
@@ -97,6 +104,16 @@ def test_precedence_and_satisfaction(spark):
 def test_direct_parents(spark):
     spans = spark.createDataFrame([("f", "A", 0, 100), ("f", "B", 10, 50), ("f", "C", 20, 30), ("g", "D", 20, 30)], "file string, id string, low int, high int")
     assert rows(hierarchy.direct_parents(spans)) == [("B", "A"), ("C", "B")]
+    rnd = random.Random(2)
+    many = [(f"f{rnd.randrange(3)}", k, a := rnd.randrange(60), a + rnd.randrange(1, 30)) for k in range(150)]
+    want = []
+    for f, i, low, high in many:
+        over = [(h - x, -x, j) for g, j, x, h in many if g == f and x <= low and h >= high and (x, h) != (low, high)]
+        if over:
+            size = min(over)[:2]
+            want.append((i, {j for *own, j in over if tuple(own) == size}))
+    got = dict(rows(hierarchy.direct_parents(spark.createDataFrame(many, "file string, id int, low int, high int"))))
+    assert got.keys() == {i for i, _ in want} and all(got[i] in near for i, near in want)
 
 
 def test_mutual_recursion(spark, edges):
@@ -112,3 +129,7 @@ def test_placeholders_and_states(spark):
     assert ("a", "d", 2) in rows(config.depends(v))
     c = spark.createDataFrame([("n1", "d", "1"), ("n2", "d", "2"), ("n3", "zz", "1")], "name string, key string, wanted string")
     assert rows(config.three_states(c, v)) == [("n1", "selected"), ("n2", "excluded"), ("n3", "undecided")]
+    deep = [("s", f"k{i}", f"${{k{i + 1}}}.{i}") for i in range(25)] + [("s", "k25", "end"), ("s", "p", "${q}"), ("s", "q", "a${p}b${k25}"), ("s", "z", "${k24}${q:d}${k24}${no:e}")]
+    got = {r.key: (r.value, r.open) for r in config.resolved(spark.createDataFrame(deep, "source string, key string, value string")).collect()}
+    assert got["k0"] == ("end" + "".join(f".{i}" for i in range(24, -1, -1)), False)  # however many keys are on the way
+    assert got["p"] == ("${q}", True) and got["q"] == ("a${p}bend", True) and got["z"] == ("end.24${q:d}end.24e", True)

@@ -74,3 +74,10 @@ def test_cascade_loads_and_nesting(spark):
     assert rows(styles.never_loaded(sheets, loaded)) == [("/lone.css",)]
     rules = spark.createDataFrame([(1, None, ".a"), (2, 1, "&:hover"), (3, 2, "b")], "rule int, parent int, selector string")
     assert rows(styles.nested(rules)) == [(1, ".a"), (2, ".a:hover"), (3, ".a:hover b")]
+    rules = spark.createDataFrame([(1, None, "a, b"), (2, 1, "c, &:is(x, y)"), *[(k, k - 1, "& > i") for k in range(3, 30)]], "rule int, parent int, selector string")
+    got = dict(rows(styles.nested(rules)))
+    assert got[2] == ":is(a, b) c, :is(a, b):is(x, y)" and got[29].count("> i") == 27  # however deep
+    links = spark.createDataFrame([(1, "/b.css", 2), (1, "/a.css", 0)], "page_id long, href string, place int")
+    sheets = spark.createDataFrame([("/a.css",), ("/b.css",), ("/i.css",)], "sheet string")
+    loaded, _ = styles.loads(links, sheets, spark.createDataFrame([("/a.css", "/i.css"), ("/b.css", "/i.css"), ("/i.css", "/b.css")], "sheet string, imported string"))
+    assert rows(loaded) == [(1, "/a.css", 0), (1, "/b.css", 0), (1, "/i.css", 0)]  # the first link that leads there
