@@ -29,6 +29,8 @@ from graphloom.llm.tokens import default_path, encoder, gather
 WINDOW, GROUP_WINDOWS = 1024, 128
 #: Up to so many rows (40 bytes each), one for each input partition and source, are sent to every task.
 SMALL_TABLE = 500_000
+#: Bytes of texts that are tokenised together, and where the table of pieces is bounded by the caller.
+PART_BYTES, SMALL_PART_BYTES = 8 << 20, 2 << 20
 
 
 def tokenised(docs: DataFrame, kind: str, path: str, end: int, queue: str | None = None, table_bytes: int | None = None) -> DataFrame:
@@ -41,7 +43,7 @@ def tokenised(docs: DataFrame, kind: str, path: str, end: int, queue: str | None
 
         part = TaskContext.get().partitionId()
         coder, sums = encoder(kind, path, table_bytes), {}
-        for batch in slices_by_bytes(batches, "text"):
+        for batch in slices_by_bytes(batches, "text", PART_BYTES if table_bytes is None else SMALL_PART_BYTES):
             flat, starts = coder.ids(column(batch, "text"))
             before = []
             for key, n in zip(column(batch, queue).to_pylist() if queue else [None] * batch.num_rows, (np.diff(starts) + 1).tolist(), strict=True):
