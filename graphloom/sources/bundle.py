@@ -34,6 +34,20 @@ def write_graph(tables: Mapping[str, DataFrame], root: str, extra: Mapping[str,
         df.select(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(df.columns)]).distinct().write.mode("overwrite").parquet(f"{root}/ext_{name}")
 
 
+def write_tsv(tables: Mapping[str, DataFrame], root: str) -> None:
+    """Core tables as headered, tab-separated text under root/<name>, rows in order inside files; absent values are empty."""
+    for name, df in tables.items():
+        shaped = conform(df, name)
+        shaped.sortWithinPartitions(*shaped.columns).write.mode("overwrite").option("emptyValue", "").option("nullValue", "").csv(f"{root}/{name}", sep="\t", header=True)
+
+
+def short_uids(df: DataFrame, column: str, prefix: int = 0, digits: int = 16) -> DataFrame:
+    """df with ids cut to their prefix and so many hexadecimal digits (64 bits); ids that would be one are kept whole."""
+    cut = F.substring(column, 1, prefix + digits)
+    clash = df.groupBy(cut.alias("short")).agg(F.min(column).alias("low"), F.max(column).alias("high")).filter("low <> high").select("short")
+    return df.join(clash, cut == F.col("short"), "left").withColumn(column, F.when(F.col("short").isNull(), cut).otherwise(F.col(column))).drop("short")
+
+
 def read_graph(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(CORE[name]).parquet(f"{root}/{name}")
 
