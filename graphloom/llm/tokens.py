@@ -16,9 +16,11 @@ import pyarrow.compute as pc
 from graphloom.llm.shared import between_tasks
 
 #: White space before a blank, or a control character on which regular expressions disagree: such texts are encoded whole.
-ODD = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |[\x{1c}-\x{1f}]"
+ODD = r"\x{2}|[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |[\x{1c}-\x{1f}]"
 #: Longer pieces are rare and stay in the table for one batch only.
 LONG = 200
+#: Begins a piece that has no blank before it; texts that hold this character are encoded whole.
+BARE = "\x02"
 #: Bytes that a piece takes in the table besides its characters and ids (string, number, place in the dictionary, two numbers).
 ENTRY_BYTES = 180
 #: Bytes of the table of pieces of a worker; beyond, it starts anew with the next batch.
@@ -84,6 +86,9 @@ class PieceEncoder:
         """Encode new pieces. inner: without the blank before them, in groups as one text each; heads: first pieces of texts.
 
         Keys of the table: an inner piece as it is, a head with a blank before it (no piece has one inside)."""
+        if bare := [w for w in inner if w[:1] == BARE]:
+            self._add(bare, *self._each([w[1:] for w in bare]))
+            inner = [w for w in inner if w[:1] != BARE]
         plain = [w for w in inner if w and not w[-1].isspace()]
         for at in range(0, len(plain), 512):
             group = plain[at : at + 512]
@@ -161,6 +166,11 @@ def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np
 class ByteEncoder(PieceEncoder):
     """For byte-level BPE: a joined group is cut by the number of bytes that each token stands for."""
 
+    def prepared(self, texts: pa.Array) -> pa.Array:
+        """Cut, too, between an ASCII letter and a comma or full stop, and around a line's end between one of these and a letter."""
+        texts = pc.replace_substring_regex(texts, r"([A-Za-z])([,.])", rf"\1 {BARE}\2")
+        return pc.replace_substring_regex(texts, r"([,.])\n([A-Za-z])", f"\\1 {BARE}\n {BARE}\\2")
+
     def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         super().__init__(path, table_bytes)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -181,7 +191,7 @@ class WordEncoder(PieceEncoder):
     """For BPE with word ends: white space is dropped, so a joined group is cut at a sign between its pieces."""
 
     MARK = "¦"
-    odd = r"[\x{1c}-\x{1f}\x{2be}\x{300}-\x{36f}]"
+    odd = r"[\x{2}\x{1c}-\x{1f}\x{2be}\x{300}-\x{36f}]"
 
     def prepared(self, texts: pa.Array) -> pa.Array:
         """White space is all alike, ASCII capitals are small ones (but before a combining mark), and a comma or full stop between a letter and a blank stands for itself."""

@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 from graphloom.llm import ans, packing, tokens
 
-SIGNS = ["a", "B", " ", "  ", "\n", "\t", "'s", "é", "¦", "!", "1", "23", "\x1c", "\xa0", "İ", "Σ", "<|endoftext|>", ",", ".", "J", "̌", "\x85", ". ", "日本"]
+SIGNS = ["a", "B", " ", "  ", "\n", "\t", "'s", "é", "¦", "!", "1", "23", "\x1c", "\xa0", "İ", "Σ", "<|endoftext|>", ",", ".", "J", ".\n", ",\n\n", "a.", "z,\nB", "\x02", "...", "̌", "\x85", ". ", "日本"]
 FILES = {"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}
 
 
