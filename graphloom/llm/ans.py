@@ -227,7 +227,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
     spark = docs.sparkSession
     seen = np.flatnonzero(freq)
     spark.createDataFrame([(int(i), int(freq[i])) for i in seen], "id long, freq long").coalesce(1).write.parquet(f"{folder}/table")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
+    order = (F.col("doc_id"), F.xxhash64("ids"))  # rows of one id, or of none, may go to several tasks
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.transform(mapped, _write_rows(freq, form), BLOCK_FIELDS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 

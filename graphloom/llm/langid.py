@@ -9,7 +9,9 @@ Training: backpropagation through time with Adam, on at most ``per_language`` do
 does not depend on partitions. This bound is on the fit alone: prediction reads every byte of every text.
 
 Nulls, empty texts and texts without a letter are ``und`` with score 0. Documents without a language are not learned
-from. Without any labelled document everything is ``und``. Only the text is an input of a prediction."""
+from. Without any labelled document everything is ``und``. Only the text is an input of a prediction. Ties of probability
+go to the language that comes first by code point; repeated rows get equal answers; an empty table gives no rows. ``predict``
+passes columns of any name but lang_pred and score, which it makes anew."""
 
 from __future__ import annotations
 
@@ -20,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import column, mapped, slices_by_bytes
+from graphloom.llm.shared import column, mapped, slices_by_bytes, staged
 
 HIDDEN, STRETCH = 8, 128
 PER_LANGUAGE, PER_DOCUMENT = 400, 3
-#: The fit needs all languages on the driver; there are as many as labels, not as documents.
-MOST_LANGUAGES = 2000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -193,17 +193,10 @@ def stretches_of(text: str, doc_id, few: int) -> list[bytes]:
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, per_document: int = PER_DOCUMENT):
     """Stretches of a bounded sample of labelled documents (text, lang, doc_id): about per_language of each language."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("doc_id", "lang", "text")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return [], np.zeros((0, STRETCH), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
     # a document is in the sample if its hash is below its language's share of the range
-    share = F.lit(None).cast("double")
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    shares = labelled.groupBy(F.col("lang").alias("l")).agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.filter(place < share)
+    sample = labelled.join(staged(shares, "language-shares"), F.col("lang") == F.col("l")).filter(place < F.col("share")).select("doc_id", "lang", "text")
 
     def cut(batches):
         for batch in batches:

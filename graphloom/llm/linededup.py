@@ -9,13 +9,17 @@ equal to their ends.
 Common prefixes of neighbours in the order come from the ranks of the rounds, longest first. An interval of the order
 with a common prefix of n lines is a repeated run; a suffix has an earlier copy of n lines if the least position of the
 interval isn't its own. For each suffix the longest such n is found by one pass from either side over each partition, with
-the frontier (common prefix, least position) of the partitions before it: a few numbers a partition.
+the frontier (common prefix, least position) of the partitions before it: as many numbers as it has different common
+prefixes, which go to the partition's task alone.
 
 A maximal repeated run of at least ``min_words`` words is deleted wherever it isn't the first copy, in order of doc_id;
-white-space lines inside and right before it go with it. Shorter runs stay.
+white-space lines inside and right before it go with it. Shorter runs stay: with a least length of one word every later
+occurrence of any line would go, whatever stands around it, and runs would mean nothing. A stretch without blanks counts
+as a word for each 36 bytes (12 characters of three bytes), so that scripts without blanks have runs, too.
 
-Nulls: a null text stays null. Rows of one doc_id and text are one document and are treated alike. Null ids come first.
-Empty texts stay. An empty table gives no rows."""
+Nulls: a null text stays null. Rows of one doc_id and text are one document, known by a 64-bit hash of both, and are
+treated alike. Null ids come first. Ties (equal runs in one document) go to the earlier line. Empty texts stay; texts of any
+length are cut whole. An empty table gives no rows. Further columns, whatever their names, pass unchanged."""
 
 from __future__ import annotations
 
@@ -25,18 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import column, mapped, parted, slices_by_bytes, staged
+from graphloom.llm.shared import column, mapped, parted, slices_by_bytes, staged, unused
 
 MIN_WORDS = 8
 
 
 def line_id(line: bytes) -> tuple[int, int, int] | None:
-    """128-bit hash, in two halves, and number of words; None without words."""
+    """128-bit hash, in two halves, and number of words (at least one for each 36 bytes); None without words."""
     words = line.split()
     if not words:
         return None
     h = xxhash.xxh3_128_intdigest(b" ".join(words))
-    return h >> 64, h & 0xFFFFFFFFFFFFFFFF, len(words)
+    return h >> 64, h & 0xFFFFFFFFFFFFFFFF, max(len(words), len(line) // 36)
 
 
 def document_key():
@@ -336,19 +340,21 @@ def earlier_copies(suffixes: DataFrame) -> DataFrame:
     rows = staged(suffixes, "lines-suffixes")
 
     def parts_of(batches):
-        held = None
+        """The rows of each part, put together once."""
+        held, number = [], None
         for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             part = np.asarray(batch.column(batch.schema.get_field_index("part")))
             if not len(part):
                 continue
-            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist()]
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                yield batch.slice(a, b - a)
-            held = batch.slice(cuts[-1])
-        if held is not None:
-            yield held
+                if held and part[a] != number:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held = []
+                held.append(batch.slice(a, b - a))
+                number = part[a]
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def of(batch):
         get = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
@@ -372,13 +378,18 @@ def earlier_copies(suffixes: DataFrame) -> DataFrame:
     for s in reversed(stats):
         right[s.part] = (now, link)
         now, link = merged([(min(p, link), x) for p, x in now], s.least, unflat(s.back)), s.first
-    sent = spark.sparkContext.broadcast((left, right))
+    # each part's frontiers go with its rows, in front of them
+    flat = lambda f: [x for p, pos in f for x in (p, *pos)]
+    table = [(int(s.part), -1, flat(left[s.part]), flat(right[s.part][0]), right[s.part][1]) for s in stats]
+    fronts = staged(spark.createDataFrame(table, "part int, idx long, before array<long>, after array<long>, link int"), "lines-fronts")
+    dealt = rows.unionByName(fronts, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", "idx")
 
     def find(batches):
         for batch in parts_of(batches):
+            before, after, link = (batch.column(batch.schema.get_field_index(n))[0].as_py() for n in ("before", "after", "link"))
+            before, after = unflat(before), unflat(after)
+            batch = batch.slice(1)
             lcps, positions = of(batch)
-            part = batch.column(batch.schema.get_field_index("part"))[0].as_py()
-            before, (after, link) = sent.value[0][part], sent.value[1][part]
             forth, _ = sweep(list(before), lcps, positions)
             back, _ = sweep(list(after), [link, *lcps[:0:-1]], positions[::-1])
             copy = [max(a, b) for a, b in zip(forth, reversed(back), strict=True)]
@@ -440,10 +451,11 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows and columns of docs with later copies deleted from text, n_chars (if there) to match, and removed_lines."""
     gone = staged(later_copies(docs.select("doc_id", "text"), min_words), "lines-gone")
     names = docs.columns
-    gone = gone.select(F.col("doc").alias("__gone"), F.col("places").alias("__places"))
-    named, others = parted(docs, document_key(), gone.select("__gone"))
+    key, same, places = (unused(x, names) for x in ("key_of", "key_gone", "places_gone"))
+    gone = gone.select(F.col("doc").alias(same), F.col("places").alias(places))
+    named, others = parted(docs, document_key(), gone.select(same))
     # by merge at every size: the texts of documents that change are dealt once
-    joined = named.withColumn("__doc", document_key()).join(gone.hint("merge"), F.col("__doc") == F.col("__gone"), "left").select(*names, "__places")
+    joined = named.withColumn(key, document_key()).join(gone.hint("merge"), F.col(key) == F.col(same), "left").select(*names, places)
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
 

@@ -7,7 +7,7 @@ document, a larger budget contains a smaller one, and reruns agree.
 
 Nulls: a null text has size 0; null sources form one source, ordered last; null ids hash alike and share a tie evenly.
 Ties and repeated rows at the boundary hash share what is left in proportion to their size. Empty tables give no rows.
-Columns of the input with the names this operator adds are not passed on."""
+Texts of any length are counted whole. mix reads doc_id, source and text alone; mixed_documents passes columns of any name."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import staged
+from graphloom.llm.shared import staged, unused
 
 WEIGHTS = (5, 2, 1)
 LEVELS, BITS = 6, 10
@@ -110,13 +110,14 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     targets = staged(source_targets(rows.select("source", "size"), weights, share, most), "mix-targets")
     edges = thresholds(rows, targets)
     edges = edges.select(F.col("source").alias("e"), F.col("prefix").alias("edge"), "want", "tied")
-    known = _budgets(targets).select(F.col("source").alias("__s"), F.col("copies").alias("__copies"))
+    s, copies, edge, near, n = (unused(x, kept) for x in ("of_source", "copies", "edge", "near", "copy"))
+    known = _budgets(targets).select(F.col("source").alias(s), F.col("copies").alias(copies))
     small = targets.count() <= MANY_SOURCES
     spread = F.broadcast if small else (lambda x: x)
-    bounds = spread(known.join(edges, F.col("__s").eqNullSafe(F.col("e")), "left").select("__s", "__copies", F.col("edge").alias("__edge"), (F.col("want") * 2 >= F.col("tied")).alias("__near")))
-    more = F.when(F.col("__edge").isNull() | (h > F.col("__edge")), 0).when((h < F.col("__edge")) | F.col("__near"), 1).otherwise(0)
-    times = docs.join(bounds, docs["source"].eqNullSafe(F.col("__s"))).withColumn("__times", (F.col("__copies") + more).cast("int"))
-    return times.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*kept)
+    bounds = spread(known.join(edges, F.col(s).eqNullSafe(F.col("e")), "left").select(s, copies, F.col("edge").alias(edge), (F.col("want") * 2 >= F.col("tied")).alias(near)))
+    more = F.when(F.col(edge).isNull() | (h > F.col(edge)), 0).when((h < F.col(edge)) | F.col(near), 1).otherwise(0)
+    times = docs.join(bounds, docs["source"].eqNullSafe(F.col(s)))
+    return times.withColumn(n, F.explode(F.array_repeat(F.lit(1), (F.col(copies) + more).cast("int")))).select(*[F.col(f"`{c}`") for c in kept])
 
 
 def oracle(table: str = "documents") -> str:

@@ -58,3 +58,11 @@ def test_edges(spark):
     empty = df.limit(0)
     assert langid.predict(empty, langid.train(empty)).count() == 0
     assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
+
+
+def test_many_languages_and_clashing_names(spark):
+    rows = [(i, f"wort{i % 40} " * 8, f"l{i % 40:02d}", i) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, share int")
+    labels, grid, lengths, truth = langid.training_rows(df, per_language=2, per_document=1)
+    assert len(labels) <= 40 and len(grid) == len(truth) and lengths.max() <= langid.STRETCH
+    assert langid.predict(df.select("doc_id", "text", "share"), None).columns == ["doc_id", "share", "lang_pred", "score"]

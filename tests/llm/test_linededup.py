@@ -66,3 +66,14 @@ def test_edges(spark):
     assert got[3].text is None and got[4].text == "" and got[5].text == "" and got[8].text == rows[8][1]
     assert linededup.deduplicated_rows(df).count() == 7
     assert linededup.deduplicated(df.limit(0)).count() == 0
+
+
+def test_long_texts_clashing_names_and_scripts_without_blanks(spark):
+    run = "\n".join(f"line number {k} of a very long table that was dumped twice" for k in range(3000))
+    kanji = "漢字" * 80
+    rows = [(1, run, 7, "a", 1), (2, f"own\n{run}\nend", 8, "b", 2), (3, f"x\n{kanji}\ny", 9, "c", 3), (4, f"z\n{kanji}", 9, "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key_of int, places_gone string, doc int")
+    got = {r.doc_id: r for r in linededup.deduplicated(df).collect()}
+    assert got[1].text == run and got[2].text == "own\nend" and got[2].removed_lines == 3000
+    assert got[3].text == rows[2][1] and got[4].text == "z"  # one word, but a long one
+    assert [got[i].key_of for i in (1, 2, 3, 4)] == [7, 8, 9, 9] and got[4].places_gone == "d" and got[2].doc == 2

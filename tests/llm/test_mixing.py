@@ -63,3 +63,12 @@ def test_equals_sql(spark):
     want = duckdb.sql(mixing.oracle(f"'{DATA}/documents.parquet'")).fetchall()
     got = mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_clashing_names_and_long_texts(spark):
+    rows = [(i, "w " * (5 if i else 300_000), "ab"[i % 2], i, "x", "y") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, of_source int, copies string, edge string")
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns and {r.of_source for r in got.collect()} <= set(range(40))
+    sizes = {r.doc_id: r.size for r in mixing.mix(df).collect()}
+    assert sizes[0] == 300_000 and sizes[1] == 5
