@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import dispatch, flow, graph, hierarchy, questions, relalg, routes, styles, web
+from graphloom.operators import config, dispatch, flow, graph, hierarchy, questions, relalg, routes, styles, web
 from graphloom.plans.catalogue import HIER_SQL, SITE_SQL, _hierarchy, _order_edges, query
 from graphloom.plans.orders import EDGES_SQL, edges, node, reach_sql, start
 from graphloom.sources.tables import table
@@ -277,6 +277,106 @@ def rule_call_edges(spark, d):
     return solve(spark, program("calls"), inputs, ["call_edge"])["call_edge"]
 
 
+CALL_SQL = """t AS (SELECT 'C:' || c_custkey AS type, 'N:' || c_nationkey AS base FROM customer UNION ALL SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation)"""
+
+
+def _call_facts(spark, d):
+    """Customers extend nations, which implement regions; regions and every other nation declare size, orders are fields."""
+    customer, nation, lit = table(spark, d, "customer"), table(spark, d, "nation"), F.lit
+    c, n, r = node("C", "c_custkey"), node("N", "n_nationkey"), node("R", "n_regionkey")
+    kind = lambda x, k: [x, x, lit("p"), lit("f"), lit(k), lit("")]
+    types = customer.select(*kind(c, "class")).union(nation.select(*kind(n, "class"))).union(nation.select(*kind(r, "interface")).distinct())
+    heritage = customer.select(c, lit(0), node("N", "c_nationkey"), lit("extends")).union(nation.select(n, lit(0), r, lit("implements")))
+    size = lambda x, k: [F.concat(x, lit(".size")), x, lit("size"), lit(0), lit(k), lit("")]
+    methods = nation.filter("n_nationkey % 2 = 0").select(*size(n, "instance")).union(nation.select(*size(r, "abstract")).distinct())
+    fields = table(spark, d, "orders").select(node("O", "o_orderkey"), node("C", "o_custkey"), node("O", "o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, "int").otherwise(node("C", "o_custkey")), lit("instance"))
+    return {"type": types, "heritage": heritage, "method": methods, "field": fields}
+
+
+def _calls(spark, d, wanted):
+    from graphloom.rules.programs import program
+    from graphloom.rules.solve import solve
+
+    return solve(spark, program("calls"), _call_facts(spark, d), [wanted])[wanted]
+
+
+@query(f"""WITH {CALL_SQL} SELECT type, base FROM t UNION ALL SELECT a.type, b.base FROM t a JOIN t b ON b.type = a.base""")
+def rule_conforms(spark, d):
+    """The call program's wider closure: everything that a type conforms to."""
+    return _calls(spark, d, "conforms")
+
+
+@query("SELECT 'C:' || c_custkey AS type, 'N:' || c_nationkey AS base FROM customer")
+def rule_inherits(spark, d):
+    """The narrower one: only what is extended, which ends at a nation, as that implements its region."""
+    return _calls(spark, d, "inherits")
+
+
+@query("""WITH m AS (SELECT 'N:' || n_nationkey AS type, CASE WHEN n_nationkey % 2 = 0 THEN 'N:' || n_nationkey ELSE 'R:' || n_regionkey END || '.size' AS method FROM nation)
+SELECT type, 'size' AS name, 0 AS arity, method FROM m UNION ALL SELECT 'C:' || c_custkey, 'size', 0, method FROM customer JOIN m ON type = 'N:' || c_nationkey UNION ALL SELECT DISTINCT 'R:' || n_regionkey, 'size', 0, 'R:' || n_regionkey || '.size' FROM nation""")
+def rule_members(spark, d):
+    """Members that types see: a declaration hides those farther up."""
+    return _calls(spark, d, "member")
+
+
+@query(f"""WITH {CALL_SQL} SELECT type AS owner, base AS used, CASE WHEN base LIKE 'R:%' THEN 'implements' ELSE 'extends' END AS context FROM t
+UNION ALL SELECT 'O:' || o_orderkey, 'C:' || o_custkey, 'field' FROM orders WHERE o_orderkey % 3 <> 0""")
+def rule_type_uses(spark, d):
+    """Types that types, fields and methods use, with the context."""
+    return _calls(spark, d, "type_use")
+
+
+@query("""SELECT 'N:' || n_nationkey || '.size' AS method, 'R:' || n_regionkey || '.size' AS base FROM nation WHERE n_nationkey % 2 = 0""")
+def rule_overrides(spark, d):
+    return _calls(spark, d, "overrides")
+
+
+@query(r"""SELECT p_partkey AS k, CAST(length(p_name) AS BIGINT) AS n, substr(p_name, 3, 4) AS part, p_brand || '/' || p_size AS label, greatest(p_size, 10) AS big, least(p_size, 10) AS small, CASE WHEN contains(p_type, 'AN') THEN 1 ELSE 0 END AS an,
+CAST(p_size // 7 AS BIGINT) AS sevenths, CAST(p_size % 7 AS BIGINT) AS rest, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS brand FROM part WHERE regexp_full_match(p_brand, 'Brand#[0-9]+')""")
+def rule_functors(spark, d):
+    """The rule language's functors over all parts."""
+    from graphloom.rules.solve import solve
+
+    text = r"""
+    .decl part(k: number, name: symbol, brand: symbol, type: symbol, size: number) .input part
+    .decl an(k: number) an(k) :- part(k, _, _, t, _), contains("AN", t).
+    .decl flag(k: number, x: number)
+    flag(k, 1) :- an(k).
+    flag(k, 0) :- part(k, _, _, _, _), !an(k).
+    .decl out(k: number, n: number, part: symbol, label: symbol, big: number, small: number, an: number, sevenths: number, rest: number, brand: number)
+    out(k, strlen(name), substr(name, 2, 4), cat(b, "/", to_string(s)), max(s, 10), min(s, 10), x, s / 7, s % 7, to_number(substr(b, 6, strlen(b) - 6))) :-
+        part(k, name, b, _, s), match("Brand#[0-9]+", b), flag(k, x).
+    """
+    return solve(spark, text, {"part": table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")}, ["out"])["out"]
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, {reach_sql('C:1', True, 'g')} SELECT 'C:2' AS node, 'override' AS section, 0 AS hop, NULL AS tier UNION ALL SELECT a, 'direct', 1, 'known_edge' FROM edges WHERE b = 'C:1'
+UNION ALL SELECT node, 'transitive', depth, NULL FROM g WHERE depth > 1 UNION ALL SELECT node, 'entry point', depth, NULL FROM g WHERE node LIKE 'S:%'""")
+def impact_answer(spark, d):
+    """What a change to a customer touches: what must change with it, direct dependents with their tier, the rest by hop, entry points."""
+    known = edges(spark, d).withColumn("tier", F.when(F.col("a").startswith("O:"), "known_edge").otherwise("multi_inferred"))
+    entries = table(spark, d, "supplier").select(node("S", "s_suppkey").alias("node"))
+    pair = relalg.facts(spark, [("C:1", "C:2")], "base string, node string")
+    return questions.impact(known, pair, pair.limit(0), entries, start(spark, "C:1"))
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, {reach_sql('C:1', True, 'g')} SELECT p_brand AS file, CAST(min(depth) AS INTEGER) AS hop FROM part JOIN g ON node = 'P:' || p_partkey WHERE p_size > 25 GROUP BY p_brand""")
+def affected_tests(spark, d):
+    """Test files (brands) of which a declaration (a large part) reaches a changed customer."""
+    part = table(spark, d, "part").filter("p_size > 25").select(node("P", "p_partkey").alias("node"), F.col("p_brand").alias("file"))
+    return questions.affected_tests(edges(spark, d), part, part.select("file").distinct(), start(spark, "C:1"))
+
+
+@query("""SELECT 'c' || c_custkey AS key, 'n' || c_nationkey AS "on", 1 AS depth FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation
+UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def keys_that_depend(spark, d):
+    """Keys whose value needs another key's, directly or through others."""
+    value = lambda k, c: F.concat(F.lit("${" + k), F.col(c).cast("string"), F.lit("}"))
+    key = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string")).alias("key")
+    values = table(spark, d, "customer").select(key("c", "c_custkey"), value("n", "c_nationkey").alias("value")).union(table(spark, d, "nation").select(key("n", "n_nationkey"), value("r", "n_regionkey")))
+    return config.depends(values)
+
+
 @query("""WITH RECURSIVE f AS (SELECT event_type AS a, n AS b FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL GROUP BY ALL),
 w AS (SELECT (SELECT min(a) FROM f) AS node, 0 AS rest UNION SELECT f.b, (w.rest + 1) % 3 FROM w JOIN f ON f.a = w.node) SELECT node, rest FROM w""")
 def rule_three_relations(spark, d):

@@ -37,7 +37,8 @@ def facts(program: Program, name: str, df: DataFrame) -> DataFrame:
     kinds = program.relations[name]
     if len(df.columns) != len(kinds):
         raise RuleError(f"{name} has {len(kinds)} places, the input {len(df.columns)} columns")
-    typed = df.select(*[(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if t == "symbol" else F.col(f"`{c}`").cast(TYPES[t])).alias(f"c{i}") for i, (c, (_, t)) in enumerate(zip(df.columns, kinds, strict=True))])
+    named = df.toDF(*columns(program, name))
+    typed = named.select(*[(F.coalesce(F.col(f"c{i}").cast("string"), F.lit("")) if t == "symbol" else F.col(f"c{i}").cast(TYPES[t])).alias(f"c{i}") for i, (_, t) in enumerate(kinds)])
     return typed.dropna().distinct()
 
 
