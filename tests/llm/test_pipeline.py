@@ -45,3 +45,17 @@ def test_run(spark, tmp_path):
     documents(spark, tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_on_odd_rows(spark):
+    odd = [(None, "ein satz ohne nummer aber mit genug worten", "de", None, 1, 1, "x"), (1, None, None, None, None, None, None), (2, "", "en", "s", 0, 2, "y"), (3, "the same words again and again", "en", "s", 9, 3, "z"), (3, "the same words again and again", "en", "s", 9, 3, "z"), (4, "word " * 50_000, "en", "t", 250_000, 4, None)]
+    df = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, row_at int, key_of string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (df, df.limit(0)):
+            got = stage(spark, docs, "")
+            assert got.columns == df.columns, name
+            assert got.count() >= (0 if docs is not df or name == "language" else 3), name
+    assert corpus_pipeline.near_duplicates(spark, df, "").filter("doc_id = 3").count() == 1
+    pieces = corpus_pipeline.pack(spark, df, "").toPandas()
+    assert pieces.length.sum() == pieces.drop_duplicates("doc_id").doc_tokens.sum() + pieces[pieces.doc_id == 3].doc_tokens.iloc[0]
+    assert corpus_pipeline.pack(spark, df.limit(0), "").count() == 0
