@@ -1,7 +1,11 @@
 """TIFF as a media column: walk image directories, decode strips or tiles (PackBits, LZW, deflate, none), undo the
 horizontal predictor, one row per page; and a writer for 8-bit grey images.
 
-Nulls and empty or damaged files give no pages (``strict=True`` raises instead). Equal bytes give equal rows."""
+Nulls and files without a header give no pages. A page that is damaged, or whose samples aren't chunky and of 8 bits, is left
+out and the others keep their numbers; after a damaged directory nothing more of a file is read (``strict=True`` raises
+instead in all these cases). Bits are reversed where a page says so. Empty texts are one row of 64 zero bytes, texts of any
+length go over as many pages as they need; equal bytes give equal rows, repeated rows repeated rows, an empty table none.
+Further columns are not read, whatever their names."""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import column, mapped, slices
+from graphloom.llm.shared import column, mapped, slices_by_bytes
 
 WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 2048, 256
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
@@ -125,6 +129,7 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 DECODE = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, 32946: zlib.decompress, PACKBITS: packbits_decode}
 ENCODE = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: packbits_encode}
 
@@ -162,6 +167,7 @@ def page_pixels(data: bytes, tags: dict) -> np.ndarray:
     if any(b != 8 for b in tags.get(258, (8,))) or one(284, 1) != 1:
         raise ValueError("only chunky 8-bit samples are read")
     decode, predictor = DECODE[one(259, 1)], one(317, 1)
+    turned = one(266, 1) == 2  # the lowest bit of a byte is the first
     tiled = 322 in tags
     across, down = (one(322), one(323)) if tiled else (width, min(one(278, height), height) or 1)
     places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
@@ -170,7 +176,7 @@ def page_pixels(data: bytes, tags: dict) -> np.ndarray:
     for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
         top, left = k // columns * down, k % columns * across
         rows = down if tiled else min(down, height - top)
-        part = np.frombuffer(decode(data[place : place + size]), np.uint8)[: rows * across * samples].reshape(rows, across, samples)
+        part = np.frombuffer(decode(data[place : place + size].translate(REVERSED) if turned else data[place : place + size]), np.uint8)[: rows * across * samples].reshape(rows, across, samples)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=np.uint8)
         room = out[top : top + rows, left : left + across]
@@ -211,15 +217,27 @@ def write_tiff(payload: bytes, compression: int = DEFLATE, predictor: int = 2, w
     return bytes(out)
 
 
-def decode_tiff(data: bytes | None, strict: bool = False) -> list[np.ndarray]:
-    if not data:
-        return []
+FAULTS = (ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, struct.error, zlib.error)
+
+
+def numbered_pages(data: bytes | None, strict: bool = False) -> list[tuple[int, np.ndarray]]:
+    """(number, pixels) of the pages that can be read."""
+    out = []
     try:
-        return [page_pixels(data, tags) for tags in directories(data)]
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error):
+        for k, tags in enumerate(directories(data) if data else ()):
+            try:
+                out.append((k, page_pixels(data, tags)))
+            except FAULTS:
+                if strict:
+                    raise
+    except FAULTS:
         if strict:
             raise
-        return []
+    return out
+
+
+def decode_tiff(data: bytes | None, strict: bool = False) -> list[np.ndarray]:
+    return [p for _, p in numbered_pages(data, strict)]
 
 
 def pages(media: DataFrame, key: str = "doc_id", value: str = "media") -> DataFrame:
@@ -230,9 +248,9 @@ def pages(media: DataFrame, key: str = "doc_id", value: str = "media") -> DataFr
     schema = T.StructType([T.StructField(key, kind), T.StructField("page", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("samples", T.IntegerType()), T.StructField("pixels", T.BinaryType())])
 
     def run(batches):
-        for batch in slices(batches, 200):
+        for batch in slices_by_bytes(batches, value, 4 << 20):
             keys, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(k, i, p.shape[1], p.shape[0], p.shape[2], p.tobytes()) for k, data in zip(keys, found, strict=True) for i, p in enumerate(decode_tiff(data))]
+            rows = [(k, i, p.shape[1], p.shape[0], p.shape[2], p.tobytes()) for k, data in zip(keys, found, strict=True) for i, p in numbered_pages(data)]
             if rows:
                 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -250,7 +268,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_bytes, media: each whole text as a TIFF file."""
 
     def run(batches):
-        for batch in slices(batches, 500):
+        for batch in slices_by_bytes(batches, "text", 4 << 20):
             made = [to_payload(t) for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([write_tiff(p) for p, _ in made], pa.binary())], names=[key, "n_bytes", "media"])
 
@@ -270,7 +288,7 @@ def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """Digests and features of stored media (key, n_bytes, media), all from the stored bytes."""
 
     def run(batches):
-        for batch in slices(batches, 500):
+        for batch in slices_by_bytes(batches, "media", 4 << 20):
             rows = []
             for data in column(batch, "media").to_pylist():
                 found = decode_tiff(data, strict=True)

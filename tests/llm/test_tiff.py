@@ -68,6 +68,26 @@ def test_query_rows(spark):
     assert tiff.text_media(df.limit(0)).count() == 0
 
 
+def test_sound_pages_of_a_damaged_file_stay():
+    payload = bytes(range(256)) * 64 * 64
+    data = bytearray(tiff.write_tiff(payload, tiff.DEFLATE))
+    whole = tiff.numbered_pages(bytes(data), strict=True)
+    assert len(whole) > 2
+    tags = list(tiff.directories(bytes(data)))
+    at = tags[1][273][0]
+    data[at : at + 8] = b"\xff" * 8
+    left = tiff.numbered_pages(bytes(data))
+    assert [k for k, _ in left] == [k for k, _ in whole if k != 1]
+
+
+def test_reversed_bits():
+    data = tiff.write_tiff(b"abc" * 64, tiff.NONE)
+    (tags,) = tiff.directories(data)
+    place, size = tags[273][0], tags[279][0]
+    turned = data[:place] + data[place : place + size].translate(tiff.REVERSED) + data[place + size :]
+    assert (tiff.page_pixels(turned, {**tags, 266: (2,)}) == tiff.page_pixels(data, tags)).all()
+
+
 def test_damaged_files_give_no_page():
     assert tiff.decode_tiff(b"II*\0\xff\xff\0\0") == [] and tiff.decode_tiff(None) == [] and tiff.decode_tiff(b"nonsense") == []
     with pytest.raises(ValueError):
