@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import langid, linededup, mixing, packing, simhash
-from graphloom.llm.shared import staged
+from graphloom.llm.shared import give_back, staged
 from graphloom.llm.tokens import SMALL_TABLE_BYTES
 
 
+def relieved(run):
+    """A stage that begins with executors whose heaps hold nothing that the stage before has left."""
+
+    @functools.wraps(run)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return run(spark, docs, sf_dir)
+
+    return stage
+
+
+@relieved
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter, or in no learned language, go."""
     return langid.identified(docs)
 
 
+@relieved
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are cut out; documents of which nothing is left go."""
     return linededup.deduplicated_rows(docs)
 
 
+@relieved
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a near copy (five-word shingles, Jaccard 0.8 or more) with a smaller id stays go."""
     return simhash.one_of_each(docs)
 
 
+@relieved
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the sources' target weights; some are taken twice."""
     return mixing.mixed_documents(docs)
 
 
+@relieved
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows in the mix's proportions."""
     found = packing.pack(docs, table_bytes=SMALL_TABLE_BYTES)

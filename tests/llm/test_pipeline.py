@@ -59,3 +59,17 @@ def test_stages_on_odd_rows(spark):
     pieces = corpus_pipeline.pack(spark, df, "").toPandas()
     assert pieces.length.sum() == pieces.drop_duplicates("doc_id").doc_tokens.sum() + pieces[pieces.doc_id == 3].doc_tokens.iloc[0]
     assert corpus_pipeline.pack(spark, df.limit(0), "").count() == 0
+
+
+def test_stages_begin_without_the_garbage_of_the_one_before(spark, monkeypatch):
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    full = lambda: sum(b.getCollectionCount() for b in beans)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    pieces = spark.createDataFrame([], "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    for module, name in ((corpus_pipeline.langid, "identified"), (corpus_pipeline.linededup, "deduplicated_rows"), (corpus_pipeline.simhash, "one_of_each"), (corpus_pipeline.mixing, "mixed_documents")):
+        monkeypatch.setattr(module, name, lambda docs: docs)
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, table_bytes: pieces)
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, "")
+        assert full() > before, name
