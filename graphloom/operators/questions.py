@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph
+from graphloom.operators.staging import cut
 from graphloom.schemas import tier_rank
 
 
@@ -85,8 +86,8 @@ def merged_traces(edges: DataFrame, observed: DataFrame) -> DataFrame:
 def edges_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 40) -> DataFrame:
     """a, b: edges of all routes from a source to a target."""
     known = graph.steps(edges)
-    inside = graph.between(known, sources, targets, max_depth).select("node")
-    return known.join(inside.select(F.col("node").alias("a")), "a", "left_semi").join(inside.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+    inside = graph.inside(known, sources, targets, max_depth).select("node")
+    return known.join(inside.select(F.col("node").alias("a")), "a", "left_semi").join(inside.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b").distinct()
 
 
 def counts(edges: DataFrame) -> DataFrame:
@@ -142,6 +143,17 @@ def used_packages(imports: DataFrame, installed: DataFrame) -> DataFrame:
 
 def what_if(edges: DataFrame, added: DataFrame, sources: DataFrame, max_depth: int = 40) -> DataFrame:
     """node, depth: what the sources reach with further edges and not without them."""
-    known = graph.steps(edges)
-    more = graph.steps(known.union(added.select("a", "b")))
-    return graph.walk(more, sources, max_depth).join(graph.walk(known, sources, max_depth).select("node"), "node", "left_anti")
+    known, more = graph.steps(edges), graph.steps(added)
+    before = graph.walk(known, sources, max_depth)
+    both, seen, found = known.union(more), before.select("node", "depth"), None
+    fresh, over = before, more  # at first, only the further edges lead on from what is reached
+    while True:
+        made = fresh.join(over, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg((F.min("depth") + 1).alias("depth")).filter(F.col("depth") <= max_depth)
+        old = seen.select(F.col("node").alias("n"), F.col("depth").alias("d"))
+        # what is new, and what the further edges bring nearer: a new node may be reached through it
+        fresh, over = cut(made.join(old, (F.col("node") == F.col("n")) & (F.col("d") <= F.col("depth")), "left_anti"), "what-if"), both
+        found = fresh if found is None else found.union(fresh)
+        if fresh.isEmpty():
+            break
+        seen = seen.union(fresh)
+    return found.groupBy("node").agg(F.min("depth").alias("depth")).join(before.select("node"), "node", "left_anti")

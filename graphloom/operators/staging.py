@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def dealt(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As cut(), in buckets by a column: a join on it takes them as they are, and only the other side is dealt to them."""
+    spark, own = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/loops/{own}").saveAsTable(own)
+    return spark.table(own)
+
+
 def cut(df: DataFrame, name: str = "round") -> DataFrame:
     """Write df and read it again: a later round, or a retry after a lost executor, starts from the files."""
     path = f"{shared_dir(df.sparkSession)}/loops/{name}-{uuid.uuid4().hex}"

@@ -114,3 +114,42 @@ def test_more_questions(spark):
     assert rows(questions.commands(spark.createDataFrame([("t/a/case",), ("t/z",)], "path string"), run)) == [("t/a/case", "one t/a/case"), ("t/z", "all t/z")]
     assert rows(questions.used_packages(spark.createDataFrame([("yaml.loader",)], "name string"), spark.createDataFrame([("PyYAML", "yaml"), ("other", "o")], "package string, module string"))) == [("PyYAML",)]
     assert [(r.lang, r.main) for r in questions.over_languages({"java": node("a"), "py": node("b")}, "py").collect()] == [("py", True), ("java", False)]
+
+
+def test_edges_between_are_read_once_and_not_dealt(spark, monkeypatch):
+    from test_graph import plans_of
+
+    from graphloom.operators import graph
+
+    plans = plans_of(monkeypatch, graph, "cut")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "b"), ("b", "x"), ("c", "d")], "a string, b string")
+    node = lambda n: spark.createDataFrame([(n,)], "node string")
+    assert rows(questions.edges_between(edges, node("a"), node("c"))) == [("a", "b"), ("b", "c")]
+    assert [("Exchange" in plan, name) for plan, name in plans if name == "edges"] == [(False, "edges")]
+
+
+def test_what_if_walks_on_from_what_is_reached(spark, monkeypatch):
+    import random
+
+    from graphloom.operators import graph
+
+    walks, own = [], graph.walk
+    monkeypatch.setattr(graph, "walk", lambda *a: walks.append(a) or own(*a))
+    chance = random.Random(5)
+
+    def reached(pairs):
+        depth, todo = {"0": 0}, ["0"]
+        for n in todo:
+            for b in sorted(b for a, b in pairs if a == n and b not in depth):
+                depth[b] = depth[n] + 1
+                todo.append(b)
+        return depth
+
+    # a chain, so that added edges bring nodes nearer from which other added edges lead on
+    chain = [(str(k), str(k + 1)) for k in range(12)] + [("n1", "n2"), ("n2", "n3"), ("n3", "4")]
+    for _ in range(1):
+        added = [(str(chance.randrange(13)), str(chance.randrange(13))) for _ in range(3)] + [(str(chance.randrange(6, 13)), "n1"), (str(chance.randrange(6, 13)), "n3"), ("n2", "9")]
+        before, after = reached(chain), reached(chain + added)
+        walks.clear()
+        found = questions.what_if(spark.createDataFrame(chain, "a string, b string"), spark.createDataFrame(added, "a string, b string"), spark.createDataFrame([("0",)], "node string"))
+        assert rows(found) == sorted((n, d) for n, d in after.items() if n not in before) and len(walks) == 1
