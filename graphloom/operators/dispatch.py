@@ -90,7 +90,7 @@ def field_access(uses: DataFrame, declared: DataFrame) -> DataFrame:
 
 def entry_reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
     """node: what the entry points (node) lead to, themselves included."""
-    return graph.distances(edges, roots, max_depth).select("node")
+    return graph.distances(edges, roots, max_depth, wide=True).select("node")
 
 
 def affected_by_gaps(sites: DataFrame, gaps: DataFrame) -> DataFrame:

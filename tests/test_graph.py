@@ -133,3 +133,37 @@ def test_placeholders_and_states(spark):
     got = {r.key: (r.value, r.open) for r in config.resolved(spark.createDataFrame(deep, "source string, key string, value string")).collect()}
     assert got["k0"] == ("end" + "".join(f".{i}" for i in range(24, -1, -1)), False)  # however many keys are on the way
     assert got["p"] == ("${q}", True) and got["q"] == ("a${p}bend", True) and got["z"] == ("end.24${q:d}end.24e", True)
+
+
+def plans_of(monkeypatch, module, name):
+    """What a module writes by one of staging's functions: (plan, name)."""
+    found, own = [], getattr(module, name)
+
+    def watched(df, *more):
+        found.append((df._jdf.queryExecution().executedPlan().toString(), more[-1]))
+        return own(df, *more)
+
+    monkeypatch.setattr(module, name, watched)
+    return found
+
+
+def test_a_walk_writes_the_edges_as_they_are_and_once(spark, edges, monkeypatch):
+    plans = plans_of(monkeypatch, graph, "cut")
+    node = lambda n: spark.createDataFrame([(n,)], "node string")
+    graph.impact(edges, node("d"))
+    assert [("Exchange" in plan, name) for plan, name in plans if name == "edges"] == [(False, "edges")]
+    # an edge that the table repeats comes once
+    assert rows(graph.parents(edges, graph.distances(edges, node("a")))) == [("b", 1, "a"), ("c", 2, "b"), ("d", 3, "c")]
+
+
+def test_a_wide_walk_deals_edges_once(spark, edges):
+    sources = spark.createDataFrame([("a",), ("x",)], "node string")
+    assert rows(graph.distances(edges, sources, wide=True)) == [("a", 0), ("b", 1), ("c", 2), ("d", 1), ("x", 0)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        known = graph.steps(edges, wide=True)
+        plan = sources.join(known, sources["node"] == known["a"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
